@@ -66,3 +66,10 @@ SELECT page_id, host, path,
   coalesce((SELECT arg_max(verdict, length(rhost || rpath)) FROM r
    WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)), 'allow') AS verdict
 FROM u"""
+
+
+@query
+def op9_simhash_dedup(spark, sf_dir):
+    from offerweave.llm.simhash import simhash_dedup
+
+    return simhash_dedup(read(spark, sf_dir, "documents"))
