@@ -73,3 +73,20 @@ def op9_simhash_dedup(spark, sf_dir):
     from offerweave.llm.simhash import simhash_dedup
 
     return simhash_dedup(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    from offerweave.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from offerweave.llm.packing import pack_documents
+
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
