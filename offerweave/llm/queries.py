@@ -90,3 +90,13 @@ def op8_packing(spark, sf_dir):
     from offerweave.llm.packing import pack_documents
 
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_word_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from offerweave.llm.word_bpe import encode_documents
+
+    found = encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
