@@ -100,3 +100,10 @@ def op6_word_bpe(spark, sf_dir):
 
     found = encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    from offerweave.llm.licenses import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents")).drop("matches")
