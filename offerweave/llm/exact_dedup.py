@@ -1,7 +1,8 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Texts are range-partitioned by sampled splitters over (normalised text, salt), sorted externally,
-and each run of neighbours that are equal in full is one copy group. The salt, dealt by doc_id,
+Texts are range-partitioned by sampled splitters, sorted externally, and each run of neighbours
+that are equal in full is one copy group. A splitter holds the head of a text, its digest and a
+salt, not the text, so what the driver samples stays small however long texts are. The salt, dealt by doc_id,
 keeps a group that holds a third of all rows from landing in one task: each salted part finds its
 own smallest id and size, and the parts (at most ``salts`` a group, without their text) are then
 combined by digest.
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from offerweave.llm.shared import table
 
 SALTS = 32
+#: Characters of a text that splitters hold; the digest orders texts that share them.
+HEAD = 64
 
 
 def normalised(text):
@@ -31,15 +34,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-    spread = rows.repartitionByRange(F.col("_norm"), F.col("_salt"))
-    part = Window.partitionBy("_norm", "_salt")
+    rows = rows.select(
+        "*",
+        F.substring("_norm", 1, HEAD).alias("_head"),
+        F.sha2("_norm", 256).alias("text_sha256"),
+        F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int").alias("_salt"),
+    )
+    spread = rows.repartitionByRange("_head", "text_sha256", "_salt")
+    part = Window.partitionBy("_head", "text_sha256", "_salt", "_norm")
     runs = spread.select(
         "_id",
         F.min("_id").over(part).alias("_least"),
         F.count(F.lit(1)).over(part).alias("_n"),
         F.row_number().over(part.orderBy(F.col("_id").asc_nulls_last())).alias("_at"),
-        F.sha2(F.col("_norm"), 256).alias("text_sha256"),
+        "text_sha256",
     )
     runs = table(runs)
     groups = (
