@@ -107,3 +107,20 @@ def op7_license_scan(spark, sf_dir):
     from offerweave.llm.licenses import license_scan
 
     return license_scan(read(spark, sf_dir, "documents")).drop("matches")
+
+
+def language_model(spark, docs):
+    import public_tokenizers
+
+    from offerweave.llm.language_id import train
+
+    return train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    from offerweave.llm.language_id import held_out, identify
+
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), language_model(spark, docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
