@@ -38,6 +38,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Values that are not negative, in the smallest unsigned kind that holds them."""
+    most = int(x.max(initial=0))
+    return x.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))
+
+
 def rows(found: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     """(part, blob) pairs as record batches of a few MB."""
     parts, blobs, held = [], [], 0

@@ -161,6 +161,9 @@ class Encoder:
         found = self.tok.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
+    def encode_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
     def distinct(self, parts: list[bytes]) -> list[np.ndarray]:
         new = [p for p in parts if p not in self.known]
         for at in range(0, len(new), 10_000):

@@ -124,3 +124,10 @@ def op5_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), language_model(spark, docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_embedding_dedup(spark, sf_dir):
+    from offerweave.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))

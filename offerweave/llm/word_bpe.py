@@ -5,15 +5,20 @@ own list of distinct words, and asks the word's bucket for the ids. A bucket bri
 all partitions ask, encodes each distinct word once and answers every request with a join on the
 word. Documents are then assembled by position from the answers. Decoding joins the ids with the
 piece of each id. Only words and positions travel, packed; texts don't.
+
+Requests and places are two passes over the same rows, so that neither is written to disk but by
+its shuffle. Both cut the same slices, as rows come in the same order (see in_order); a slice's tag
+is a digest of its content, so an answer to another slice is never taken for its own.
 """
 
 from __future__ import annotations
 
-import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,46 +28,50 @@ from offerweave.llm.shared import table
 
 SLICE = 8_000_000
 #: Bytes of distinct words to a bucket, and bytes of text to an assembling task.
-BUCKET, CHUNK = 2_000_000, 12_000_000
+BUCKET, CHUNK = 2_000_000, 24_000_000
 ASK, PLACE = 0, 1
 SUFFIX = "</w>"
 
 
-def _split(buckets: int, chunks: int):
-    """Requests (distinct words to their buckets) and places (each document's words)."""
+def _split(kind: int, buckets: int, chunks: int):
+    """Requests (distinct words to their buckets) or places (each document's words)."""
 
     def run(batches):
-        part, slice_no = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in packed.slices(batch, "_text", SLICE):
                 data, at = packed.texts(some.column("_text"))
                 ident, null = packed.ids(some.column("_id"))
                 starts, ends, first = words.spans(data, at)
                 code, distinct = words.codes(data, starts, ends)
-                tag = (part << 32) + slice_no
-                slice_no += 1
-                spread = (((part << 2) + slice_no) * 0x9E3779B97F4A7C15) % (1 << 64)
-                to = ((spread >> 32) * chunks) >> 32
-                bucket = packed.deal(packed.mix(words.hashes(distinct)), buckets)
-                # words are numbered by bucket, so an answer needs no word
-                order = np.argsort(bucket, kind="stable")
+                # slices with one tag are equal, and so are the answers they get
+                tag = xxhash.xxh3_64_intdigest(data.tobytes(), xxhash.xxh3_64_intdigest(at.tobytes() + ident.tobytes())) >> 1
+                to = int(packed.deal(packed.mix(np.array([tag], np.uint64)), chunks)[0])
+                of = packed.deal(packed.mix(words.hashes(distinct)), buckets)
+                often = np.bincount(code, minlength=len(distinct))
+                order = np.lexsort((-often, of))
+                bucket = of[order]
                 number = np.empty(len(order), np.int64)
-                number[order] = np.arange(len(order))
-                asked = []
-                for p, i in packed.by_part(bucket, buckets):
-                    found = [distinct[j] for j in i.tolist()]
-                    size = np.fromiter(map(len, found), np.int32, len(found))
-                    asked.append(p)
-                    yield ASK, p, packed.pack(np.array([tag, to, p], np.int64), size, b"".join(found))
-                kind = np.uint16 if len(distinct) < 1 << 16 else np.uint32
-                yield PLACE, to, packed.pack(np.array([tag], np.int64), ident, null, np.diff(first), number[code].astype(kind), np.array(asked, np.int64))
+                number[order] = numbers(bucket)
+                if kind == ASK:
+                    for p, i in packed.by_part(bucket, buckets):
+                        found = [distinct[j] for j in order[i].tolist()]
+                        size = np.fromiter(map(len, found), np.int32, len(found))
+                        yield p, packed.pack(np.array([tag, to, p], np.int64), packed.narrow(size), b"".join(found))
+                else:
+                    asked = np.unique(bucket)
+                    planes = number[code].astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+                    yield to, packed.pack(np.array([tag], np.int64), ident, null, packed.narrow(np.diff(first)), asked, *planes)
 
-    def batches_of(batches):
-        schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
-        for kind, part, blob in run(batches):
-            yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], schema=schema)
+    return run
 
-    return batches_of
+
+def numbers(bucket: np.ndarray) -> np.ndarray:
+    """Numbers of words that are ordered by bucket and, in a bucket, by falling frequency. Words
+    of like rank in their buckets get numbers near each other, so frequent words get small ones."""
+    first = np.searchsorted(bucket, bucket)
+    out = np.empty(len(bucket), np.int64)
+    out[np.lexsort((bucket, np.arange(len(bucket)) - first))] = np.arange(len(bucket))
+    return out
 
 
 def _encode(path: str):
@@ -73,16 +82,16 @@ def _encode(path: str):
         got = [packed.unpack(b) for b in packed.blobs(batches)]
         if not got:
             return
-        size = np.concatenate([x[1] for x in got])
+        size = np.concatenate([x[1].astype(np.int64) for x in got])
         data = np.concatenate([x[2] for x in got])
-        offsets = pa.py_buffer(np.r_[0, np.cumsum(size, dtype=np.int64)])
+        offsets = pa.py_buffer(np.r_[0, np.cumsum(size)])
         column = pa.Array.from_buffers(pa.large_binary(), len(size), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
         code, distinct = np.asarray(column.indices), column.dictionary.to_pylist()
         table = []
         for at in range(0, len(distinct), 10_000):
-            table += tok.encode([w.decode() for w in distinct[at : at + 10_000]])
+            table += tok.encode_ids([w.decode() for w in distinct[at : at + 10_000]])
         count = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate([*table, np.zeros(0, np.uint32)])
+        flat = np.fromiter(chain.from_iterable(table), np.uint32, int(count.sum()))
         begin = np.cumsum(count) - count
         at = 0
         for (tag, to, p), own, _ in got:
@@ -90,66 +99,83 @@ def _encode(path: str):
             at += len(own)
             n = count[c]
             ids = flat[np.arange(n.sum()) + np.repeat(begin[c] - (np.cumsum(n) - n), n)]
-            yield int(to), packed.pack(np.array([tag, p], np.int64), n.astype(np.int32), ids)
+            yield int(to), packed.pack(np.array([tag, p], np.int64), packed.narrow(n), packed.narrow(ids))
 
     return run
 
 
-def pieces(path: str) -> list[bytes]:
+def pieces(path: str) -> pa.Array:
     """The piece of each id as decode() joins them: a piece is its own text."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    out = [b""] * tok.get_vocab_size()
+    out = [""] * tok.get_vocab_size()
     for piece, i in tok.get_vocab().items():
-        out[i] = piece.encode()
-    return out
+        out[i] = piece
+    return pa.array(out, pa.large_string())
+
+
+def _joined(values: pa.Array, which: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """values[which], joined by one space between one end and the next."""
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(pa.array(which)))
+    return pc.binary_join(lists, pa.scalar(" ", values.type))
 
 
 def _assemble(path: str):
     def run(batches):
         piece = pieces(path)
+        written = pa.array([str(i) for i in range(len(piece))], pa.large_string())
         places, answers = [], {}
         for blob in packed.blobs(batches):
             x = packed.unpack(blob)
-            if len(x) == 6:
+            if len(x) == 9:
                 places.append(x)
             else:
-                answers.setdefault(int(x[0][0]), {})[int(x[0][1])] = x[1:]
-        for (tag,), ident, null, size, number, asked in places:
-            own = [answers[int(tag)][p] for p in asked.tolist()] if len(asked) else []
-            count = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in own)]).astype(np.int64)
-            flat = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in own)]).tolist()
-            ends = np.cumsum(count).tolist()
-            written, spoken = [], []
-            for a, b in zip([0, *ends], ends, strict=False):
-                w = flat[a:b]
-                written.append(" ".join(map(str, w)).encode())
-                spoken.append(b" ".join([piece[i] for i in w]))
-            n = np.r_[0, np.cumsum(count[number])]
-            first = np.r_[0, np.cumsum(size)]
+                answers[tuple(x[0].tolist())] = x[1:]
+        for (tag,), ident, null, size, asked, *planes in places:
+            own = [answers[int(tag), p] for p in asked.tolist()]
+            count = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in own)]).astype(np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint32), *(x[1] for x in own)]).astype(np.int64)
+            bucket = np.repeat(np.arange(len(own)), [len(x[0]) for x in own]) if own else np.zeros(0, np.int64)
+            number = np.stack(planes, 1).view(np.uint32).ravel()
+            at = np.empty(len(count), np.int64)
+            at[numbers(bucket)] = np.arange(len(count))
+            word = at[number]
+            first = np.r_[0, np.cumsum(size.astype(np.int64))]
+            n = np.r_[0, np.cumsum(count[word])]
             tokens = n[first[1:]] - n[first[:-1]]
-            silent = (count == 0).any()
-            number = number.tolist()
-            id_sets, texts, rows, held = [], [], 0, 0
-            for i in range(len(ident)):
-                these = number[first[i] : first[i + 1]]
-                if silent:  # a word that the normaliser leaves nothing of has no ids and no place
-                    these = [w for w in these if count[w]]
-                id_sets.append(b" ".join([written[w] for w in these]))
-                texts.append(b" ".join([spoken[w] for w in these]))
-                held += len(id_sets[-1]) + len(texts[-1])
-                if held > 8_000_000 or i + 1 == len(ident):
-                    at = slice(rows, i + 1)
-                    yield pa.record_batch(
-                        [pa.array(ident[at], mask=null[at].astype(bool)), pa.array(tokens[at]), pa.array(id_sets, pa.binary()).cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string())],
-                        ["_id", "n_tokens", "ids", "decoded"],
-                    )
-                    id_sets, texts, rows, held = [], [], i + 1, 0
+            if (count == 0).any():  # a word that the normaliser leaves nothing of has no place
+                stays = count[word] > 0
+                first = np.r_[0, np.cumsum(stays)][first]
+                word = word[stays]
+            ends = np.r_[0, np.cumsum(count)]
+            id_words, piece_words = _joined(written, flat, ends), _joined(piece, flat, ends)
+            rows = 0
+            while rows < len(ident):  # some 300,000 words at a time, whole documents
+                to = max(rows + 1, int(np.searchsorted(first, first[rows] + 300_000, "right")) - 1)
+                these, cut = word[first[rows] : first[to]], first[rows : to + 1] - first[rows]
+                some = slice(rows, to)
+                yield pa.record_batch(
+                    [
+                        pa.array(ident[some], mask=null[some].astype(bool)),
+                        pa.array(tokens[some]),
+                        _joined(id_words, these, cut).cast(pa.string()),
+                        _joined(piece_words, these, cut).cast(pa.string()),
+                    ],
+                    ["_id", "n_tokens", "ids", "decoded"],
+                )
+                rows = to
 
     return run
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` such that reading it twice gives the same rows in the same order: a plain scan does,
+    the rows of a shuffle are written first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return table(df) if "Exchange" in plan else df
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, ids (decimal, joined by one space), decoded.
 
@@ -162,9 +188,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     total = packed.total_bytes(docs, text_col)
     buckets, chunks = max(1, -(-total // (8 * BUCKET))), max(1, -(-total // CHUNK))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    split = table(rows.mapInArrow(_split(buckets, chunks), "kind int, part int, blob binary"), "none")
-    asked = packed.send(split.filter(F.col("kind") == ASK).select("part", "blob"), buckets)
+    rows = in_order(rows)
+    asked = packed.send(packed.map_rows(rows, _split(ASK, buckets, chunks)), buckets)
     answers = packed.map_rows(asked, _encode(tokenizer))
-    places = split.filter(F.col("kind") == PLACE).select("part", "blob")
+    places = packed.map_rows(rows, _split(PLACE, buckets, chunks))
     found = packed.send(answers.unionByName(places), chunks)
     return found.mapInArrow(_assemble(tokenizer), "_id long, n_tokens long, ids string, decoded string").withColumnRenamed("_id", id_col)
