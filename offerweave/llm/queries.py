@@ -131,3 +131,11 @@ def op1_embedding_dedup(spark, sf_dir):
     from offerweave.llm.embedding_dedup import embedding_dedup
 
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    from offerweave.llm.suffix_dedup import suffix_dedup
+
+    found = suffix_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
