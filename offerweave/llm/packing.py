@@ -10,6 +10,7 @@ these need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -18,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerweave.llm import packed, words
+from offerweave.llm import packed
 
 #: Bytes of text to a group.
 GROUP = 12_000_000
 SLICE = 4_000_000
-#: Distinct units whose ids a worker remembers.
-REMEMBERED = 200_000
 
-#: White space beyond ASCII (Unicode White_Space), as UTF-8. Fixed values.
-WIDE_SPACE = re.compile("|".join("\x85 \xa0 \u1680 \u2000 \u2001 \u2002 \u2003 \u2004 \u2005 \u2006 \u2007 \u2008 \u2009 \u200a \u2028 \u2029 \u202f \u205f \u3000".split(" ")).encode())
+#: How the byte-level pre-tokenizer splits a text, and the byte that each of its characters stands
+#: for: printable bytes are themselves, the others follow from U+0100 on. Fixed values.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
 class Tournament:
@@ -115,37 +116,28 @@ def pack_group(lengths: list[int], capacity: int) -> list[tuple[int, int, int, i
     return pieces
 
 
-_SPACE = words._SPACE
-
-
-def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cuts, first): texts cut where the byte-level splitter always cuts. A unit is a word with
-    the space before it, another white space before a word, or what is left of a run; unit u is data[cuts[u]:cuts[u+1]]
-    and those of text i are first[i] to first[i+1]."""
-    n = len(data)
-    if not n:
-        return np.zeros(1, np.int64), np.zeros(len(at), np.int64)
-    space = _SPACE[data]
-    cut = np.zeros(n, bool)
-    edges = at[at < n]
-    begin = np.zeros(n, bool)  # of a word
-    begin[1:] = ~space[1:] & space[:-1]
-    last = np.zeros(n, bool)  # white space right before a word of its text
-    last[:-1] = begin[1:]
-    inner = at[(at > 0) & (at < n)]
-    last[inner - 1] = False
-    blank = last & (data == 0x20)
-    begin[edges] = ~space[edges]
-    cut |= last
-    cut[1:] |= begin[1:] & ~blank[:-1]
-    cut[1:] |= space[1:] & ~space[:-1]
-    cut[edges] = True
-    cuts = np.r_[np.flatnonzero(cut), n]
-    return cuts, np.searchsorted(cuts[:-1], at)
+def ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary of a plain byte-level BPE file by bytes; empty if ids don't rank its merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return {}
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return {}
+    char = {chr(b): b for b in PRINTABLE}
+    char |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+    added = {t["content"] for t in spec["added_tokens"]}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    if ids != sorted(set(ids)) or any(c not in model["vocab"] for c in char):
+        return {}
+    return {bytes(char[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in added}
 
 
 class Encoder:
-    """Ids of whole texts under a byte-level tokenizer, each distinct unit encoded once."""
+    """Ids of whole texts as a tokenizers file gives them. A plain byte-level vocabulary is run by
+    tiktoken, several times faster; texts that hold an added token are left to tokenizers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -153,58 +145,24 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
-        self.known: dict[bytes, np.ndarray] = {}
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.fast = None
+        if found := ranks(path):
+            import tiktoken
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tok.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+            self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=found, special_tokens={})
 
     def encode_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def distinct(self, parts: list[bytes]) -> list[np.ndarray]:
-        new = [p for p in parts if p not in self.known]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            self.known.update(zip(some, self.encode([p.decode() for p in some]), strict=True))
-        out = [self.known[p] for p in parts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return out
-
-    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, first of each and the end)."""
-        cuts, first = units(data, at)
-        offsets = pa.py_buffer(np.ascontiguousarray(cuts, np.int64))
-        column = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(data)])
-        coded = column.dictionary_encode()
-        parts = self.distinct(coded.dictionary.to_pylist())
-        code = np.asarray(coded.indices)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = np.cumsum(size) - size
-        table = np.concatenate([*parts, np.zeros(0, np.uint32)])
-        each = size[code]
-        ends = np.r_[0, np.cumsum(each)]
-        ids = table[np.arange(ends[-1]) + np.repeat(begin[code] - ends[:-1], each)]
-        bounds = ends[first]
-        raw = data.tobytes()
-        whole = {
-            i: self.encode([raw[at[i] : at[i + 1]].decode()])[0]
-            for i in self.direct(raw, at)
-        }
-        if whole:
-            own = [whole.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(at) - 1)]
-            return np.concatenate(own), np.r_[0, np.cumsum([len(x) for x in own])]
-        return ids, bounds
-
-    def direct(self, raw: bytes, at: np.ndarray) -> list[int]:
-        """Texts with an added token or white space beyond ASCII: these are encoded whole."""
-        hits = [m.start() for m in WIDE_SPACE.finditer(raw)]
-        if self.added:
-            hits += [m.start() for m in self.added.finditer(raw)]
-        return np.unique(np.searchsorted(at, hits, "right") - 1).tolist() if hits else []
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.fast is None:
+            return [np.array(x, np.uint32) for x in self.encode_ids(texts)]
+        return [
+            np.array(self.encode_ids([t])[0] if self.added and self.added.search(t) else self.fast.encode_ordinary(t), np.uint32)
+            for t in texts
+        ]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -225,12 +183,12 @@ def _pack(path: str, capacity: int, end: int):
         groups, ident, null, ids, sizes = [], [], [], [], []
         for batch in batches:
             for part in packed.slices(batch, "_text", SLICE):
-                found, bounds = encode(*packed.texts(part.column("_text")))
+                found = encode(part.column("_text").fill_null("").to_pylist())
                 a, b = packed.ids(part.column("_id"))
                 ident.append(a)
                 null.append(b)
-                ids.append(found)
-                sizes.append(np.diff(bounds))
+                ids.append(np.concatenate(found))
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
                 groups.append(np.asarray(part.column("_group"), np.int64))
         if not ids:
             return
