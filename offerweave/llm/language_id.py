@@ -60,15 +60,25 @@ class Lattice:
             for b in p:
                 v = (v * int(_B) + b + 1) % (1 << 64)
             h[i] = v
-        self.bits = 18
-        while True:  # a table without collisions: one look-up a place
-            slot = (packed.mix(h) >> np.uint64(64 - self.bits)).astype(np.int64)
-            if len(np.unique(slot)) == len(slot) or self.bits == 26:
-                break
-            self.bits += 1
-        self.piece = np.full(1 << self.bits, -1, np.int32)
-        self.hash = np.zeros(1 << self.bits, np.uint64)
-        self.piece[slot], self.hash[slot] = np.arange(len(pieces)), h
+        # tables of about sixteen slots a piece; what finds its slot taken goes to the next table
+        self.tables, left = [], np.arange(len(pieces))
+        while len(left):
+            bits = np.uint64(64 - max(6, int(len(left) * 16).bit_length()))
+            slot = (packed.mix(h[left] + np.uint64(len(self.tables))) >> bits).astype(np.int64)
+            _, first = np.unique(slot, return_index=True)
+            piece, hashes = np.full(1 << (64 - int(bits)), -1, np.int32), np.zeros(1 << (64 - int(bits)), np.uint64)
+            piece[slot[first]], hashes[slot[first]] = left[first], h[left[first]]
+            self.tables.append((bits, piece, hashes))
+            left = np.delete(left, first)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        for i, (bits, piece, hashes) in enumerate(self.tables):
+            slot = packed.mix(h + np.uint64(i)) >> bits
+            hit = hashes[slot] == h
+            out[hit] = piece[slot[hit]]
+        return out
 
     def edges(self, parts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
         """(lengths, [(start, end, words, pieces)]), by start and end."""
@@ -82,12 +92,12 @@ class Lattice:
             alone = np.zeros(len(parts), bool)
             for n in range(1, min(PIECE, width - s) + 1):
                 h = h * _B + (text[:, s + n - 1].astype(np.uint64) + np.uint64(1))
-                slot = packed.mix(h) >> np.uint64(64 - self.bits)
-                hit = (self.hash[slot] == h) & (lead > 0) & (s + n <= size)
-                alone |= hit & (lead == n)
-                w = np.flatnonzero(hit)
+                w = np.flatnonzero((lead > 0) & (s + n <= size))
+                piece = self.find(h[w])
+                w, piece = w[piece >= 0], piece[piece >= 0]
                 if len(w):
-                    out.append((s, s + n, w, self.piece[slot[w]]))
+                    alone[w] |= lead[w] == n
+                    out.append((s, s + n, w, piece))
             for n in (1, 2, 3, 4):
                 w = np.flatnonzero(~alone & (lead == n) & (s < size))
                 if len(w):  # a character cut off at the end counts as whole
