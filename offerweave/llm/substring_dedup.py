@@ -152,9 +152,11 @@ class Slice:
         self.valid = (left >= window)[: max(0, len(self.doc) - window + 1)]
 
 
-def docs_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _text and _key, which tells rows of one id with other texts apart."""
+def docs_table(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = ()) -> DataFrame:
+    """_id, _text and _key, which tells rows of one id with other texts apart, and the columns to
+    keep, by number."""
     return docs.select(
+        *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)],
         F.col(id_col).cast("long").alias("_id"),
         F.col(text_col).alias("_text"),
         F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))).alias("_key"),
@@ -268,8 +270,8 @@ def _count(window: int, chunks: int):
     return run
 
 
-def gather_texts(chunks: int):
-    """Documents to their chunks, compressed together."""
+def gather_texts(chunks: int, keep: int = 0):
+    """Documents to their chunks, compressed together with their first ``keep`` columns."""
 
     def run(batches):
         for batch in batches:
@@ -277,24 +279,35 @@ def gather_texts(chunks: int):
                 data, at = packed.texts(part.column("_text"))
                 raw = data.tobytes()
                 ident, null = packed.ids(part.column("_id"))
+                null = null + 2 * np.asarray(part.column("_text").is_null()).astype(np.uint8)
                 key = np.asarray(part.column("_key"), np.int64)
                 for c, i in packed.by_part(packed.deal(packed.mix(key.view(np.uint64)), chunks), chunks):
                     text = b"".join([raw[x:y] for x, y in zip(at[i].tolist(), at[i + 1].tolist(), strict=True)])
-                    yield c, packed.pack(ident[i], null[i], key[i], np.diff(at)[i], np.frombuffer(text, np.uint8))
+                    rest = []
+                    if keep:
+                        own = part.select(list(range(keep))).take(pa.array(i))
+                        sink = pa.BufferOutputStream()
+                        with pa.ipc.new_stream(sink, own.schema) as writer:
+                            writer.write_batch(own)
+                        rest = [np.frombuffer(sink.getvalue(), np.uint8)]
+                    yield c, packed.pack(ident[i], null[i], key[i], np.diff(at)[i], np.frombuffer(text, np.uint8), *rest)
 
     return run
 
 
 def by_document(batches):
     """The texts of a chunk and what is marked in them: (ident, null, at, data, doc of each mark,
-    start, count). A mark counts for every row with its key."""
+    start, count, kept columns). ``null`` has 1 for a null id and 2 for a null text. A mark counts
+    for every row with its key."""
     docs, marks = [], []
     for blob in packed.blobs(batches):
         x = packed.unpack(blob)
-        (docs if len(x) == 5 else marks).append(x)
+        (docs if len(x) >= 5 else marks).append(x)
     if not docs:
         return None
-    ident, null, key, size, data = (np.concatenate(x) for x in zip(*docs, strict=True))
+    ident, null, key, size, data = (np.concatenate(x) for x in list(zip(*docs, strict=True))[:5])
+    kept = [pa.ipc.open_stream(pa.py_buffer(x[5])).read_all() for x in docs if len(x) > 5]
+    kept = pa.concat_tables(kept).combine_chunks() if kept else None
     at = np.r_[0, np.cumsum(size)]
     k, start, count = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 3
     order = np.argsort(key, kind="stable")
@@ -302,16 +315,16 @@ def by_document(batches):
     times = high - low
     mark = np.repeat(np.arange(len(k)), times)
     doc = order[np.repeat(low, times) + np.arange(len(mark)) - np.repeat(np.cumsum(times) - times, times)]
-    return ident, null, at, data, doc, start[mark].astype(np.int64), count[mark].astype(np.int64)
+    return ident, null, at, data, doc, start[mark].astype(np.int64), count[mark].astype(np.int64), kept
 
 
-def _apply(window: int):
+def _apply(window: int, whole: bool):
     def run(batches):
         from itertools import compress
 
         if (found := by_document(batches)) is None:
             return
-        ident, null, at, data, doc, start, count = found
+        ident, null, at, data, doc, start, count, columns = found
         starts, ends, first = words.spans(data, at)
         change = np.zeros(len(starts) + 1, np.int32)
         np.add.at(change, first[doc] + start, 1)
@@ -322,36 +335,53 @@ def _apply(window: int):
         raw = data.tobytes()
         out, rows, size = [], 0, 0
         for i in range(len(ident)):
-            text = raw[at[i] : at[i + 1]].split()
-            if gone[i]:
-                text = compress(text, kept[first[i] : first[i + 1]].tolist())
-            out.append(b" ".join(text))
-            size += len(out[-1])
+            text = raw[at[i] : at[i + 1]]
+            if whole and not gone[i]:
+                out.append(None if null[i] & 2 else text)
+            else:
+                text = text.split()
+                if gone[i]:
+                    text = compress(text, kept[first[i] : first[i + 1]].tolist())
+                out.append(b" ".join(text))
+            size += len(out[-1] or b"")
             if size > SLICE or i + 1 == len(ident):
                 own = slice(rows, i + 1)
+                more = columns.slice(rows, i + 1 - rows).combine_chunks().to_batches()[0] if columns is not None else None
                 yield pa.record_batch(
-                    [pa.array(ident[own], mask=null[own].astype(bool)), pa.array(n[own]), pa.array(gone[own]), pa.array(out, pa.binary()).cast(pa.string())],
-                    ["_id", "n_words", "n_removed", "kept_text"],
+                    [
+                        pa.array(ident[own], mask=(null[own] & 1).astype(bool)),
+                        pa.array(n[own]),
+                        pa.array(gone[own]),
+                        pa.array(out, pa.binary()).cast(pa.string()),
+                        *(more.columns if more else ()),
+                    ],
+                    ["_id", "n_words", "n_removed", "kept_text", *(more.schema.names if more else ())],
                 )
                 out, rows, size = [], i + 1, 0
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_text (kept words joined by one space).
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, keep: list[str] = (), whole: bool = False) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_text (kept words joined by one space), and
+    the columns of ``keep`` as they are.
 
     Words are what ASCII white space separates. A word goes if a window over it has the words of
     a window that starts earlier: in a smaller id, or in the same id at an earlier word. Null text
-    has no words; texts shorter than a window keep all. Repeated rows tie and are treated alike;
-    rows of one id with other texts count as one document's occurrences. A null id sorts last.
-    Other columns are ignored. An empty table gives no rows.
+    has no words; texts shorter than a window keep all. With ``whole`` a text that loses nothing is
+    kept as it is, its white space too, and null stays null. Repeated rows tie and are treated
+    alike; rows of one id with other texts count as one document's occurrences. A null id sorts
+    last. Columns not in ``keep`` are ignored. An empty table gives no rows.
     """
-    rows = docs_table(docs, id_col, text_col)
+    keep = list(keep)
+    rows = docs_table(docs, id_col, text_col, keep)
     total = packed.total_bytes(docs, text_col)
     buckets, chunks = max(1, -(-total // BUCKET)), max(1, -(-total // CHUNK))
-    sent = packed.send(packed.map_rows(rows, _scatter(window, buckets, chunks, _common(rows, total) if total else np.zeros(0, np.uint64))), buckets)
+    own = rows.select("_id", "_text", "_key")
+    sent = packed.send(packed.map_rows(own, _scatter(window, buckets, chunks, _common(own, total) if total else np.zeros(0, np.uint64))), buckets)
     marks = packed.map_rows(sent, _count(window, chunks))
-    texts = packed.map_rows(rows, gather_texts(chunks))
-    found = packed.send(marks.unionByName(texts), chunks).mapInArrow(_apply(window), "_id long, n_words long, n_removed long, kept_text string")
-    return found.withColumnRenamed("_id", id_col)
+    texts = packed.map_rows(rows, gather_texts(chunks, len(keep)))
+    kinds = dict(docs.dtypes)
+    out = ", ".join(["_id long, n_words long, n_removed long, kept_text string", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)]])
+    found = packed.send(marks.unionByName(texts), chunks).mapInArrow(_apply(window, whole), out)
+    return found.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])

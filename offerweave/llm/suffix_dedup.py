@@ -124,7 +124,7 @@ def _chunk(batches):
     docs, rest = [], []
     for blob in packed.blobs(batches):
         x = packed.unpack(blob)
-        (docs if len(x) == 5 else rest).append(x)
+        (docs if len(x) >= 5 else rest).append(x)
     if not docs:
         return None
     ident, null, key, size, data = (np.concatenate(x) for x in zip(*docs, strict=True))
@@ -327,7 +327,7 @@ def _apply(window: int):
     def run(batches):
         if (found := by_document(batches)) is None:
             return
-        ident, null, at, data, doc, start, count = found
+        ident, null, at, data, doc, start, count, _ = found
         change = np.zeros(len(data) + 1, np.int32)
         np.add.at(change, at[doc] + start, 1)
         np.add.at(change, at[doc] + start + count + window - 1, -1)
@@ -346,7 +346,7 @@ def _apply(window: int):
             offsets = pa.py_buffer((to[i : j + 1] - to[i]).astype(np.int32))
             yield pa.record_batch(
                 [
-                    pa.array(ident[own], mask=null[own].astype(bool)),
+                    pa.array(ident[own], mask=(null[own] & 1).astype(bool)),
                     pa.array(np.diff(at)[own]),
                     pa.array((removed[at[1:]] - removed[at[:-1]])[own]),
                     pa.array((spans[at[1:]] - spans[at[:-1]])[own].astype(np.int64)),

@@ -45,6 +45,23 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 20)
 
 
+def test_kept_columns_and_whole_texts(spark):
+    rows = cases(3)
+    df = spark.createDataFrame([(i, t, f"{i}|{t}", [1.5, None], "y") for i, t in rows], "doc_id long, text string, was string, more array<double>, kept string")
+    found = sd.substring_dedup(df, keep=["was", "more"], whole=True).collect()
+    assert len(found) == len(rows)
+    kept = {}
+    for i, n, gone, text in brute(rows, 20):
+        kept.setdefault((i, n, gone), set()).add(text)
+    for r in found:
+        assert r.was.startswith(f"{r.doc_id}|") and r.more == [1.5, None]
+        t = r.was.split("|", 1)[1]
+        if r.n_removed:
+            assert r.kept_text in kept[r.doc_id, r.n_words, r.n_removed]
+        else:
+            assert (r.kept_text is None and t == "None") or r.kept_text == t
+
+
 def test_many_buckets(spark, monkeypatch):
     for name, value in (("BUCKET", 2_000), ("CHUNK", 3_000)):
         monkeypatch.setattr(sd, name, value)
