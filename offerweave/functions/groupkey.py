@@ -72,86 +72,113 @@ def with_group_key(offers: DataFrame, d: D.Dictionaries, use_canonical: bool = T
     """
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
     value = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-    dose, dose_unit, volume, volume_unit = value("dosage_value"), text("dosage_unit"), value("volume_value"), text("volume_unit")
+    blank = lambda c: F.nullif(c, F.lit(""))
     given = text("canonical_identity") if use_canonical and "canonical_identity" in offers.columns else F.lit("")
-    first = offers.withColumns(
+    # each step names what the next ones use more than once, so that no expression is repeated
+    ready = offers.withColumns(
         {
-            "_core": F.coalesce(F.nullif(F.trim(text("core")), F.lit("")), core_from_title(F.col("title"), d)),
-            "_given": T.normalize_key(given),
+            "_given_text": given,
             "_brand": T.normalize_key(F.col("brand")),
-            "_form": F.nullif(M.key_form(text("form")), F.lit("")),
-            "_unit": M.key_unit(volume_unit),
-            "_strength": M.strength_key(dose, dose_unit),
-            "_size": M.size_key(volume, volume_unit),
+            "_form_key": T.normalize_key(text("form")),
+            "_unit_key": T.normalize_key(text("volume_unit")),
+            "_dose_key": T.normalize_key(text("dosage_unit")),
             "_title": T.normalize_key(F.col("title")),
+            "_from_title": core_from_title(F.col("title"), d),
+            "_dose": value("dosage_value"),
+            "_volume": value("volume_value"),
+        }
+    )
+    ready = ready.withColumns(
+        {
+            "_given": T.normalize_key(F.col("_given_text")),
+            "_core": F.coalesce(blank(F.trim(text("core"))), F.col("_from_title")),
+            "_form": blank(M.look_up(F.col("_form_key"), M.KEY_FORMS)),
+            "_unit": M.look_up(F.col("_unit_key"), M.UNITS),
+            "_dose_unit": M.look_up(F.col("_dose_key"), M.UNITS),
         }
     )
-    second = first.withColumns(
+    ready = ready.withColumns(
         {
             "_core_key": T.normalize_key(F.col("_core")),
-            "_residual": residual_core(F.col("_core"), d),
-            "_identity": identity_core(F.col("_core"), d),
-            "_measured": (dose > 0) | F.col("_unit").isin("g", "kg"),
+            "_strength": M.strength_key(F.col("_dose"), F.col("_dose_unit"), known=True),
+            "_strength_shown": M.strength_display(F.col("_dose"), F.col("_dose_unit"), known=True),
+            "_size": M.size_key(F.col("_volume"), F.col("_unit"), known=True),
+            "_size_shown": blank(M.measure_display(F.col("_volume"), F.col("_unit"), known=True)),
+            "_measured": (F.col("_dose") > 0) | F.col("_unit").isin("g", "kg"),
+            "_form_shown": blank(T.title_words(F.col("_form"))),
+            "_brand_shown": blank(T.title_words(F.trim(text("brand")))),
+            "_tag": F.concat(F.lit("form:"), F.col("_form")),
         }
     )
-    powder = (F.col("_unit") == "kg") | ((F.col("_unit") == "g") & (volume >= M.POWDER_GRAMS))
-    liquid = (text("form") == "") & (volume > 0) & F.col("_unit").isin("ml", "l") & (dose <= 0)
-    third = second.withColumns(
+    powder = (F.col("_unit") == "kg") | ((F.col("_unit") == "g") & (F.col("_volume") >= M.POWDER_GRAMS))
+    liquid = (text("form") == "") & (F.col("_volume") > 0) & F.col("_unit").isin("ml", "l") & (F.col("_dose") <= 0)
+    ready = ready.withColumns(
         {
-            "_found": D.ingredients(F.col("_core_key"), d, identifying=True),
+            "_all": D.ingredients(F.col("_core_key"), d, identifying=True),
+            "_residual": T.join(F.array_sort(_meaningful(without_brands(T.words(F.col("_core_key")), d), d, 4))),
+            "_identity": T.join(_meaningful(T.words(F.col("_core_key")), d, 5, digits=True)),
             "_topical": ~powder
-            & (D.among(T.normalize_key(text("form")), D.TOPICAL) | F.exists(T.words(F.col("_title")), lambda w: D.among(w, D.TOPICAL)) | D.is_cosmetic(F.col("_brand"), d) | liquid),
+            & (D.among(F.col("_form_key"), D.TOPICAL) | F.exists(T.words(F.col("_title")), lambda w: D.among(w, D.TOPICAL)) | D.is_cosmetic(F.col("_brand"), d) | liquid),
         }
     )
     # a branded or named multivitamin is more than its ingredient
-    bare = (F.col("_found") == F.array(F.lit("multivitamin"))) & ((F.col("_brand") != "") | (F.size(T.words(F.col("_core_key"))) > 1))
-    ready = third.withColumn("_found", F.when(bare, F.array().cast("array<string>")).otherwise(F.col("_found")))
-
+    bare = (F.col("_all") == F.array(F.lit("multivitamin"))) & ((F.col("_brand") != "") | (F.size(T.words(F.col("_core_key"))) > 1))
+    own_words = T.words(F.col("_brand"))
+    ready = ready.withColumns(
+        {
+            "_found": F.when(bare, F.array().cast("array<string>")).otherwise(F.col("_all")),
+            "_sku": T.join(F.filter(T.words(F.col("_residual")), lambda w: ~F.array_contains(own_words, w))),
+            "_residual_size": F.size(T.words(F.col("_residual"))),
+            "_identity_size": F.size(T.words(F.col("_identity"))),
+        }
+    )
+    alone = F.size("_found") == 1
+    ready = ready.withColumns(
+        {
+            "_own": F.when(alone, M.strength_key(F.col("_dose"), F.col("_dose_unit"), F.col("_found"), known=True)),
+            "_own_shown": F.when(alone, M.strength_display(F.col("_dose"), F.col("_dose_unit"), F.col("_found"), known=True)),
+        }
+    )
     found, residual, identity, brand, form = (F.col(c) for c in ("_found", "_residual", "_identity", "_brand", "_form"))
-    own = F.when(F.size(found) == 1, M.strength_key(dose, dose_unit, found))
-    own_display = F.when(F.size(found) == 1, M.strength_display(dose, dose_unit, found))
-    tagged = F.when(form.isNotNull(), F.concat(F.lit("form:"), form))
-    suffix = (F.col("_strength"), F.col("_size"), tagged)
-    count = lambda c: F.size(T.words(c))
-    sku = T.join(F.filter(T.words(residual), lambda w: ~F.array_contains(T.words(brand), w)))
-
+    suffix = (F.col("_strength"), F.col("_size"), F.col("_tag"))
     is_given = F.col("_given") != ""
     by_ingredient = (F.size(found) > 0) & ~F.col("_topical")
-    by_line = ~F.col("_topical") & F.col("_measured") & (count(residual) >= 2)
-    distinctive = (count(identity) >= 2) | ((count(identity) == 1) & (F.length(identity) >= 6))
+    by_line = ~F.col("_topical") & F.col("_measured") & (F.col("_residual_size") >= 2)
+    distinctive = (F.col("_identity_size") >= 2) | ((F.col("_identity_size") == 1) & (F.length(identity) >= 6))
     by_name = ~F.col("_topical") & (distinctive | ((identity != "") & (identity == brand) & form.isNotNull()))
     by_brand = (brand != "") & ((residual != "") | form.isNotNull())
+    rule = F.when(is_given, 0).when(by_ingredient, 1).when(by_line, 2).when(by_name, 3).when(by_brand, 4).otherwise(5)
+    ready = ready.withColumn("_rule", rule)
 
-    def choose(given_, ingredient_, line_, name_, brand_, single_):
-        return F.when(is_given, given_).when(by_ingredient, ingredient_).when(by_line, line_).when(by_name, name_).when(by_brand, brand_).otherwise(single_)
+    def choose(*values):
+        out = values[-1]
+        for i, v in reversed(list(enumerate(values[:-1]))):
+            out = F.when(F.col("_rule") == i, v).otherwise(out)
+        return out
 
-    shown = (M.strength_display(dose, dose_unit), M.measure_display(volume, volume_unit))
-    blank = lambda c: F.nullif(c, F.lit(""))
-    named = lambda c: F.concat_ws(" ", T.title_words(c), *[blank(s) for s in shown], M.form_display(text("form")))
-    line = lambda r: F.coalesce(
-        blank(F.concat_ws(" ", blank(T.title_words(F.trim(text("brand")))), blank(T.title_words(r)), *[blank(s) for s in shown], form)), F.trim(text("title"))
-    )
+    named = lambda c: F.concat_ws(" ", T.title_words(c), "_strength_shown", "_size_shown", "_form_shown")
+    line = lambda r: F.coalesce(blank(F.concat_ws(" ", "_brand_shown", blank(T.title_words(r)), "_strength_shown", "_size_shown", "_form")), F.trim(text("title")))
     offer = F.concat(F.lit("offer:"), F.coalesce(blank(F.replace(text("id"), F.lit("product_"), F.lit(""))), F.col("_title")))
     keyed = ready.withColumns(
         {
             "group_key": choose(
                 _parts(F.lit("core"), F.col("_given"), *suffix),
-                _parts(F.concat(F.lit("ing:"), F.array_join(found, "+")), own, tagged),
+                _parts(F.concat(F.lit("ing:"), F.array_join(found, "+")), F.col("_own"), F.col("_tag")),
                 _parts(F.lit("prod"), residual, *suffix),
                 _parts(F.lit("core"), identity, *suffix),
-                _parts(F.lit("sku"), brand, sku, *suffix),
+                _parts(F.lit("sku"), brand, F.col("_sku"), *suffix),
                 offer,
             ),
             "group_display": choose(
-                named(given),
-                F.concat_ws(" ", F.array_join(F.transform(found, T.title_words), " + "), blank(own_display), form),
+                named(F.col("_given_text")),
+                F.concat_ws(" ", F.array_join(F.transform(found, T.title_words), " + "), "_own_shown", "_form"),
                 line(residual),
                 named(identity),
-                line(sku),
+                line(F.col("_sku")),
                 F.coalesce(blank(T.title_words(residual)), blank(T.title_words(F.col("_core"))), F.trim(text("title"))),
             ),
             "group_method": choose(*[F.lit(m) for m in ("brand-core", "ingredient", "brand-line", "brand-core", "brand-sku", "single")]),
-            "group_residual": choose(F.col("_given"), F.lit(""), residual, identity, sku, residual),
+            "group_residual": choose(F.col("_given"), F.lit(""), residual, identity, F.col("_sku"), residual),
             "group_has_measure": choose(F.col("_measured"), F.lit(False), F.lit(True), F.col("_measured"), F.col("_measured"), F.col("_measured")),
         }
     )

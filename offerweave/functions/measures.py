@@ -76,14 +76,14 @@ def extract_form(c: Column) -> Column:
 
 def compact(v: Column) -> Column:
     """A number without needless digits, six places at most."""
-    return F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", "")
+    return F.when(v.isNotNull(), F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", ""))
 
 
-def strength(value: Column, unit: Column, ingredients: Column | None = None) -> tuple[Column, Column]:
+def strength(value: Column, unit: Column, ingredients: Column | None = None, known: bool = False) -> tuple[Column, Column]:
     """(value, unit) of a canonical strength, null if there is none. Masses are in mg; vitamin D3
     in mcg counts 40 iu each, and D3 or K2 in mg is no strength. ``ingredients`` are those that
-    the strength belongs to, none if it isn't told."""
-    u = key_unit(unit)
+    the strength belongs to, none if it isn't told; ``known`` says the unit is a key unit already."""
+    u = unit if known else key_unit(unit)
     has = lambda name: F.coalesce(F.array_contains(ingredients, F.lit(name)), F.lit(False)) if ingredients is not None else F.lit(False)
     d3 = has("vitamin d3")
     base = F.when((u == "mcg") & d3, value * 40).when(u == "mcg", value / 1000).when(u == "g", value * 1000).otherwise(value)
@@ -93,14 +93,14 @@ def strength(value: Column, unit: Column, ingredients: Column | None = None) ->
     return F.when(ok, base), F.when(ok, base_unit)
 
 
-def strength_key(value: Column, unit: Column, ingredients: Column | None = None) -> Column:
-    v, u = strength(value, unit, ingredients)
+def strength_key(value: Column, unit: Column, ingredients: Column | None = None, known: bool = False) -> Column:
+    v, u = strength(value, unit, ingredients, known)
     return F.concat(compact(v), u)
 
 
-def strength_display(value: Column, unit: Column, ingredients: Column | None = None) -> Column:
-    v, u = strength(value, unit, ingredients)
-    return F.concat_ws(" ", compact(v), F.upper(u))
+def strength_display(value: Column, unit: Column, ingredients: Column | None = None, known: bool = False) -> Column:
+    v, u = strength(value, unit, ingredients, known)
+    return F.concat(compact(v), F.lit(" "), F.upper(u))
 
 
 def bucket_grams(v: Column) -> Column:
@@ -108,17 +108,18 @@ def bucket_grams(v: Column) -> Column:
     return F.when(v >= 500, F.round(v / 250) * 250).when(v >= 100, F.round(v / 50) * 50).otherwise(v)
 
 
-def size_key(value: Column, unit: Column) -> Column:
+def size_key(value: Column, unit: Column, known: bool = False) -> Column:
     """Millilitres as they are, grams in buckets; null without a size."""
-    u = key_unit(unit)
+    u = unit if known else key_unit(unit)
     v = F.when(u.isin("l", "kg"), value * 1000).otherwise(value)
     base = F.when(u == "l", F.lit("ml")).when(u == "kg", F.lit("g")).otherwise(u)
     v = F.when(base == "g", bucket_grams(v)).otherwise(v)
     return F.when((value > 0) & (u != ""), F.concat(compact(F.round(v, 6)), base))
 
 
-def measure_display(value: Column, unit: Column) -> Column:
-    return F.when((value > 0) & (F.coalesce(unit, F.lit("")) != ""), F.concat_ws(" ", compact(value), F.upper(key_unit(unit))))
+def measure_display(value: Column, unit: Column, known: bool = False) -> Column:
+    u = unit if known else key_unit(unit)
+    return F.when((value > 0) & (F.coalesce(unit, F.lit("")) != ""), F.concat_ws(" ", compact(value), F.upper(u)))
 
 
 def form_display(form: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +18,21 @@ def with_rank(hits: DataFrame, *order: Column) -> DataFrame:
 
 
 def group_offers(offers: DataFrame, d: D.Dictionaries) -> DataFrame:
-    """Keys, then both folds: what search and the catalog snapshot share."""
-    keyed = with_group_key(offers, d)
+    """Keys, then both folds: what search and the catalog snapshot share.
+
+    Each fold reads the offers twice, so keyed offers are kept (lost parts are worked out again).
+    Unpersist them by ``spark.catalog.clearCache()`` when a job is done.
+    """
+    keyed = with_group_key(offers, d).persist(StorageLevel.MEMORY_AND_DISK)
     return fold_formless(fold_sizeless(keyed))
 
 
 def cheapest_per_vendor(offers: DataFrame, group: str = "group_key", vendor: str = "vendor_id", order: tuple[str, ...] = ("price", "rank", "id")) -> DataFrame:
     """The first offer of each vendor in each group by ``order``; an offer without a vendor is its
-    own. Adds _group_offers, the group's number of offers before."""
+    own. Adds _of_vendor and _first, the vendor's number of offers in the group and their best rank."""
     who = F.coalesce(F.nullif(F.col(vendor).cast("string"), F.lit("")), F.col("id").cast("string"))
     place = Window.partitionBy(group, who).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    first = offers.withColumns({"_place": F.row_number().over(place), "_of_vendor": F.count(F.lit(1)).over(Window.partitionBy(group, who))})
+    first = offers.withColumns({"_place": F.row_number().over(place), "_of_vendor": F.count(F.lit(1)).over(Window.partitionBy(group, who)), "_first": F.min("rank").over(Window.partitionBy(group, who))})
     return first.filter("_place = 1").drop("_place")
 
 
@@ -48,7 +53,7 @@ def roll_up(offers: DataFrame, group: str = "group_key", members: list[str] | No
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         F.avg("price").alias("avg_price"),
-        F.min("rank").alias("first_rank"),
+        F.min("_first").alias("first_rank"),
         F.array_sort(F.collect_list(F.struct(*lead, *own))).alias("products"),
     )
 

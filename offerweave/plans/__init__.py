@@ -1 +1 @@
-"""offerweave plans"""
+"""Whole plans: the registered queries and the ingestion job."""
