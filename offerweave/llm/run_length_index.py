@@ -54,6 +54,23 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
+class Marks:
+    """Marked rows as bits, and how many are marked up to a row."""
+
+    def __init__(self, marked: np.ndarray):
+        words = np.zeros(len(marked) // 64 + 1, np.uint64)
+        bits = np.packbits(marked, bitorder="little")
+        words.view(np.uint8)[: len(bits)] = bits
+        self.words = words
+        self.before = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+
+    def rank(self, rows: np.ndarray) -> np.ndarray:
+        """Marked rows up to and with each of ``rows``."""
+        word, bit = rows >> 6, (rows & 63).astype(np.uint64)
+        upto = self.words[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - bit))
+        return self.before[word] + np.bitwise_count(upto)
+
+
 class RunLengthIndex:
     """``data`` holds the strings one after another, string i from at[i] to at[i+1] and owned by
     owner[i]."""
@@ -72,7 +89,7 @@ class RunLengthIndex:
         # runs of the transform
         before = np.where(left[order] == size[of[order]], 0, text[order - 1])
         new = np.r_[True, before[1:] != before[:-1]]
-        self.run = np.flatnonzero(new)
+        self.run, self.marks = np.flatnonzero(new), Marks(new)
         symbol, length = before[self.run], np.diff(np.r_[self.run, total])
         by = np.argsort(symbol, kind="stable")
         begin = np.cumsum(length[by]) - length[by]
@@ -85,7 +102,8 @@ class RunLengthIndex:
             pair = pair[_words(text, order[pair] + k) == _words(text, order[pair + 1] + k)]
         joined = np.zeros(total + 1, bool)
         joined[pair + 1] = True  # a row that shares a window with the one before
-        self.low = np.flatnonzero(~joined[:-1] & joined[1:])
+        head = ~joined[:-1] & joined[1:]
+        self.low, self.heads, self.shared = np.flatnonzero(head), Marks(head), head | joined[:-1]
         self.high = np.flatnonzero(joined[:-1] & ~joined[1:]) + 1
         if len(self.low):
             rows = owner[of[order]]
@@ -102,9 +120,8 @@ class RunLengthIndex:
         for read in range(1, int(self.size.max(initial=0)) + 1):
             on = self.size[alive] >= read
             rows, alive = rows[on], alive[on]
-            run = np.searchsorted(self.run, rows, "right") - 1
+            run = self.marks.rank(rows) - 1
             rows = self.step[run] + rows - self.run[run]
             if read >= self.window and len(self.low):
-                at = np.searchsorted(self.low, rows, "right") - 1
-                hit = (at >= 0) & (rows < self.high[at])
-                yield alive[hit], self.size[alive[hit]] - read, self.least[at[hit]]
+                hit = np.flatnonzero(self.shared[rows])
+                yield alive[hit], self.size[alive[hit]] - read, self.least[self.heads.rank(rows[hit]) - 1]
