@@ -33,4 +33,4 @@ def top(counts: DataFrame, **limits: int) -> DataFrame:
 def as_map(counts: DataFrame) -> DataFrame:
     """One row: facet -> (value -> n)."""
     each = counts.groupBy("facet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("values"))
-    return each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("facet", "values")))).alias("facets"))
+    return each.agg(F.map_from_entries(F.collect_list(F.struct("facet", "values"))).alias("facets"))
