@@ -46,7 +46,8 @@ FROM n"""
 def op4_url_filter(spark, sf_dir):
     from offerweave.llm.url_filter import url_filter
 
-    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    values = ", ".join(str(r) for r in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(verdict, host, path)")
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
@@ -139,3 +140,38 @@ def op3_suffix_dedup(spark, sf_dir):
 
     found = suffix_dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op2_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+k AS (SELECT s.doc_id AS doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM s JOIN d ON s.doc_id = d.doc_id),
+g AS (SELECT doc_id, i, (doc_id, i) <> min((doc_id, i)) OVER (PARTITION BY t) AS gone FROM k),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+c AS (SELECT p.doc_id AS doc_id, p.i AS i, w[p.i] AS word,
+        coalesce(max(CAST(gone AS INTEGER)) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS off
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i)
+SELECT d.doc_id AS doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE off) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT off), '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id"""
+
+SQL["op3_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, unnest(range(0, n)) AS i FROM d),
+k AS (SELECT s.doc_id AS doc_id, i, substring(h, 2 * i + 1, 2) AS byte, CASE WHEN i + 50 <= n THEN md5_number(substring(h, 2 * i + 1, 100)) END AS t FROM s JOIN d ON s.doc_id = d.doc_id),
+g AS (SELECT doc_id, i, byte, t IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY t) AS gone FROM k),
+c AS (SELECT doc_id, i, byte, max(CAST(gone AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS off FROM g),
+e AS (SELECT *, off = 1 AND coalesce(lag(off) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS start FROM c)
+SELECT d.doc_id AS doc_id, any_value(n) AS n_bytes, coalesce(CAST(sum(off) AS BIGINT), 0) AS n_removed, count(*) FILTER (WHERE start) AS n_spans,
+       sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE off = 0), ''))) AS kept_sha256
+FROM d LEFT JOIN e ON d.doc_id = e.doc_id GROUP BY d.doc_id"""
+
+SQL["op1_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(a, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.a WHERE r.root < l.a),
+c AS (SELECT a, min(root) AS root FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN c ON c.a = vec_id"""
