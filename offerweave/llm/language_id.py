@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from offerweave.llm import packed, words
 
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: The sample that the model is fitted on: texts of each language, and bytes a text may have.
 SAMPLE, SAMPLE_BYTES = 600, 16_384
 ROUNDS = 3
