@@ -189,8 +189,15 @@ def fold_sizeless(offers: DataFrame) -> DataFrame:
     """Unmeasured offers whose residual of two words or more names a measured line get one key."""
     lines = offers.filter("group_method = 'brand-line' and group_residual <> ''").select(F.col("group_residual").alias("_line")).distinct()
     open_ = F.col("group_method").isin("brand-sku", "single") & ~F.col("group_has_measure") & (F.size(T.words(F.col("group_residual"))) >= 2)
-    joined = offers.join(lines, (F.col("group_residual") == F.col("_line")) & open_, "left")
-    return joined.withColumn("group_key", F.when(F.col("_line").isNotNull(), F.concat(F.lit("prod::"), "group_residual")).otherwise(F.col("group_key"))).drop("_line")
+    keyed = offers.withColumn("_fold", _own_key(open_, F.col("group_residual")))
+    joined = keyed.join(lines, F.col("_fold") == F.col("_line"), "left")
+    return joined.withColumn("group_key", F.when(F.col("_line").isNotNull(), F.concat(F.lit("prod::"), "group_residual")).otherwise(F.col("group_key"))).drop("_line", "_fold")
+
+
+def _own_key(folds: Column, key: Column) -> Column:
+    """``key`` of offers that may fold; others get one of their own, so that they don't meet in one
+    task."""
+    return F.when(folds, key).otherwise(F.concat(F.lit("\u0001"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
 
 
 def fold_formless(offers: DataFrame) -> DataFrame:
@@ -202,5 +209,5 @@ def fold_formless(offers: DataFrame) -> DataFrame:
     forms = offers.filter(formed).groupBy(base.alias("_base"), F.col("group_key").alias("_key")).agg(F.count_distinct("vendor_id").alias("_n"))
     best = forms.groupBy("_base").agg(F.min(F.struct(-F.col("_n"), "_key"))["_key"].alias("_best"))
     formless = (F.col("group_method") == "ingredient") & ~F.contains("group_key", F.lit(tag))
-    joined = offers.join(best, (F.col("group_key") == F.col("_base")) & formless, "left")
-    return joined.withColumn("group_key", F.coalesce("_best", "group_key")).drop("_base", "_best")
+    joined = offers.withColumn("_fold", _own_key(formless, F.col("group_key"))).join(best, F.col("_fold") == F.col("_base"), "left")
+    return joined.withColumn("group_key", F.coalesce("_best", "group_key")).drop("_base", "_best", "_fold")

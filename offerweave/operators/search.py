@@ -79,7 +79,8 @@ def fuzzy(offers: DataFrame, query: D.Query) -> DataFrame:
 
 def search(offers: DataFrame, query: D.Query, limit: int | None = None) -> DataFrame:
     """Precise hits, and if they are fewer than three and the query is one concept, fuzzy ones after
-    them, with rank. The count gates the second pass inside one plan."""
+    them. The count gates the second pass inside one plan. ``rank`` orders the hits: a struct, so
+    that no task has to number them all (``with_rank`` numbers a page)."""
     first = precise(offers, query)
     if limit is not None:
         first = first.orderBy("tier", F.col("relevance").desc(), "price", "id").limit(limit)
@@ -89,9 +90,7 @@ def search(offers: DataFrame, query: D.Query, limit: int | None = None) -> DataF
         second = fuzzy(offers, query).withColumns({"tier": F.lit(5), "pass": F.lit(1)})
         second = second.join(F.broadcast(few), F.col("_few")).drop("_few").join(first.select("id"), "id", "left_anti")
         hits = hits.unionByName(second)
-    from offerweave.operators.grouping import with_rank
-
-    return with_rank(hits, F.col("pass"), F.col("tier"), F.col("relevance").desc(), F.col("price"), F.col("id"))
+    return hits.withColumn("rank", F.struct("pass", "tier", (-F.col("relevance")).alias("irrelevance"), "price", "id"))
 
 
 def autocomplete(offers: DataFrame, query: D.Query, limit: int = 8, overfetch: int = 6) -> DataFrame:

@@ -332,7 +332,7 @@ def fold_dominant_variant(spark, sf_dir):
 
     p = read(spark, sf_dir, "part")
     key = F.when(F.col("p_size") > 10, F.concat("p_name", F.lit("::form:"), F.lower("p_type"))).otherwise(F.col("p_name"))
-    return fold_formless(p.select("p_partkey", F.col("p_brand").alias("vendor_id"), key.alias("group_key"), F.lit("ingredient").alias("group_method"))).select("p_partkey", "group_key")
+    return fold_formless(p.select("p_partkey", F.col("p_partkey").alias("id"), F.col("p_brand").alias("vendor_id"), key.alias("group_key"), F.lit("ingredient").alias("group_method"))).select("p_partkey", "group_key")
 
 
 @query(
@@ -346,6 +346,7 @@ def fold_sizeless_line(spark, sf_dir):
     line = (F.col("p_type") == "SMALL") & (F.col("p_size") >= 40)
     rows = read(spark, sf_dir, "part").select(
         "p_partkey",
+        F.col("p_partkey").alias("id"),
         F.when(line, F.concat(F.lit("prod::"), "p_name", F.lit("::"), "p_size", F.lit("g"))).otherwise(F.concat(F.lit("offer:"), "p_partkey")).alias("group_key"),
         F.when(line, "brand-line").when(F.col("p_type") == "PROMO", "brand-sku").when(F.col("p_type") == "LARGE", "single").otherwise("ingredient").alias("group_method"),
         F.col("p_name").alias("group_residual"),
@@ -713,7 +714,7 @@ def grouped_search(spark, sf_dir):
     d = D.Dictionaries()
     o = offers(spark, sf_dir).withColumns({"volume_value": F.lit(0.0), "volume_unit": F.lit("")})
     q = D.Query("red bolt", d)
-    return grouping.page(grouping.grouped(search.search(o, q), q, d)).drop("products")
+    return grouping.page(grouping.grouped(search.search(o, q), q, d)).drop("products", "first_rank")
 
 
 @query()
