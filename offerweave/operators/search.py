@@ -64,7 +64,11 @@ def precise(offers: DataFrame, query: D.Query) -> DataFrame:
 def fuzzy(offers: DataFrame, query: D.Query) -> DataFrame:
     """Rows whose title, name or core is like the query, with a relevance."""
     q = query.normalized or query.text.lower()
-    ready = _prepared(offers.filter("price > 0"), q).withColumns(
+    # a row that is like the query shares that part of the query's trigrams: a cheap test before
+    shared = lambda c: F.size(F.array_intersect(F.col("_want"), F.col(c)))
+    n = F.size("_want")
+    near = _prepared(offers.filter("price > 0"), q).filter((shared("_title") >= LIKE * n) | (shared("_core") >= LIKE * n) | (shared("_name") >= LIKE_WORD * n))
+    ready = near.withColumns(
         {
             "_s_title": G.overlap(F.array_distinct("_title"), F.col("_want")),
             "_s_core": G.overlap(F.col("_core"), F.col("_want")),
@@ -98,6 +102,8 @@ def autocomplete(offers: DataFrame, query: D.Query, limit: int = 8, overfetch: i
     one row a title, then ``limit`` of these. Ties go by id."""
     q = query.normalized or query.text.lower()
     ready = offers.filter("price > 0").withColumns({"_want": G.trigrams(F.lit(q)), "_title": G.ordered_trigrams(F.col("title"))})
+    concepts = T.contains_all(F.col("search_tokens"), query.required)
+    ready = ready.filter(concepts | (F.size(F.array_intersect("_want", "_title")) >= LIKE_TYPING * F.size("_want")))
     ready = ready.withColumn("_near", G.word_overlap(F.col("_want"), F.col("_title")))
     ready = ready.filter(T.contains_all(F.col("search_tokens"), query.required) | (F.col("_near") >= LIKE_TYPING))
     # the distance has the title as its first argument: how much of the title the query covers
