@@ -70,3 +70,14 @@ def price_bounds(groups: DataFrame) -> DataFrame:
 def same(a: Column, b: Column) -> Column:
     """Equal, two nulls too."""
     return a.eqNullSafe(b)
+
+
+def valid(rows: DataFrame, expires: str, as_of: Column, used: str | None = None) -> DataFrame:
+    """Rows that have not expired and, if ``used`` is given, were not used."""
+    out = rows.filter(F.col(expires) > as_of)
+    return out.filter(F.col(used).isNull()) if used else out
+
+
+def email_key(c: Column) -> Column:
+    """SHA-256 of an address, outer blanks and case aside."""
+    return F.sha2(F.lower(F.trim(c)), 256)

@@ -17,7 +17,8 @@ NAME_SIGNS = (
 WHOLE_NAMES = ["dm"]
 NO_ADDRESS = ["", "rs", "serbia", "srbija"]
 SOURCES = ["foursquare", "tomtom", "osm"]
-GENERIC_NAMES = ["apoteka", "apoteke", "pharmacy", "shop", "store", "online", "srbija", "beograd", "drogerija", "doo", "lab"]
+GENERIC_WORDS = ["apoteka", "apoteke", "apotekarska", "ustanova", "pharmacy", "farmacija", "online", "shop", "store", "prodavnica", "srbija", "rs", "www", "web", "net", "e"]
+GENERIC_NAMES = ["apoteka", "pharmacy", "drugstore", "drogerie", "chemist", "supplement", "suplementi", "vitamin", "sport", "sports", "fitness", "shop", "store"]
 
 
 def relevant(categories: Column, name: Column, vendor: Column, allowed_ids: list[str] = ()) -> Column:
@@ -62,23 +63,58 @@ def same_domain(a: Column, b: Column) -> Column:
 
 def name_words(name: Column) -> Column:
     """Words of a vendor's name that tell it from others."""
-    return F.array_distinct(F.filter(T.words(T.normalize_place(name)), lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC_NAMES)))
+    return F.array_distinct(F.filter(T.words(T.normalize_place(name)), lambda w: ~w.isin(*GENERIC_WORDS)))
 
 
 def match_vendors(vendors: DataFrame, places: DataFrame) -> DataFrame:
-    """(vendor_id, place_id) where a place looks like a vendor's: same domain, or all telling words
-    of the vendor's name are among the place's.
+    """(vendor_id, place_id) where a place looks like a vendor's: same domain or a subdomain; one name
+    within the other (three characters of the vendor's, four of the place's unless generic); or all
+    telling words of the vendor's name among the place's.
 
-    Both tests are equi-joins: on the domain, and on each vendor's longest word (which its places
-    must have) before the rest is compared. No vendor meets every place.
+    Every test is an equi-join on something that a match must share, then verified: the last two
+    labels of the domain, the first three characters of the name within, the longest telling word.
+    No vendor meets every place.
     """
-    v = vendors.select(F.col("id").alias("vendor_id"), "website", name_words(F.col("name")).alias("_words"))
-    p = places.select(F.col("id").alias("place_id"), F.col("website").alias("_site"), F.array_distinct(T.words(T.normalize_place(F.col("name")))).alias("_have"))
-    by_domain = v.withColumn("_d", domain(F.col("website"))).join(p.withColumn("_d", domain(F.col("_site"))), "_d").select("vendor_id", "place_id")
+    base = lambda d: F.array_join(F.slice(F.split(d, r"\."), -2, 2), ".")
+    flat = lambda c: T.normalize_place(F.col(c))
+    v = vendors.select(F.col("id").alias("vendor_id"), domain(F.col("website")).alias("_d"), flat("name").alias("_v"), name_words(F.col("name")).alias("_words"))
+    p = places.select(F.col("id").alias("place_id"), domain(F.col("website")).alias("_s"), flat("name").alias("_p")).withColumn("_have", F.array_distinct(T.words(F.col("_p"))))
+    a = v.filter(F.contains("_d", F.lit("."))).withColumn("_k", base(F.col("_d")))
+    b = p.filter(F.contains("_s", F.lit("."))).withColumn("_k", base(F.col("_s")))
+    dot = F.lit(".")
+    related = (F.col("_d") == F.col("_s")) | F.col("_d").endswith(F.concat(dot, "_s")) | F.col("_s").endswith(F.concat(dot, "_d"))
+    by_domain = a.join(b, "_k").filter(related).select("vendor_id", "place_id")
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(3))))
+    inner = v.filter(F.length("_v") >= 3).withColumn("_k", F.substring("_v", 1, 3)).join(p.withColumn("_k", F.explode(runs("_p"))), "_k")
+    within = inner.filter(F.contains("_p", "_v")).select("vendor_id", "place_id")
+    plain = p.filter((F.length("_p") >= 4) & ~F.col("_p").isin(*GENERIC_NAMES)).withColumn("_k", F.substring("_p", 1, 3))
+    around = plain.join(v.withColumn("_k", F.explode(runs("_v"))), "_k").filter(F.contains("_v", "_p")).select("vendor_id", "place_id")
     lead = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    named = v.filter(F.size("_words") > 0).withColumn("_w", lead).join(p.withColumn("_w", F.explode("_have")), "_w")
-    by_name = named.filter(F.size(F.array_except("_words", "_have")) == 0).select("vendor_id", "place_id")
-    return by_domain.unionByName(by_name).distinct()
+    named = v.filter(F.size("_words") > 0).withColumn("_k", lead).join(p.withColumn("_k", F.explode("_have")), "_k")
+    by_words = named.filter(F.size(F.array_except("_words", "_have")) == 0).select("vendor_id", "place_id")
+    return by_domain.unionByName(within).unionByName(around).unionByName(by_words).distinct()
+
+
+def prune(places: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Places that a run found again or that are allowed (vendor_id, source, source_id)."""
+    return places.join(allowed.select("vendor_id", "source", "source_id").distinct(), ["vendor_id", "source", "source_id"], "left_semi")
+
+
+def search_text(places: DataFrame, text: str) -> DataFrame:
+    """Places whose name, address or city has all words of ``text``, accents and case aside."""
+    whole = T.normalize_identity(F.concat_ws(" ", "name", "address", "locality"))
+    from offerweave.functions.dictionaries import plain
+
+    out = places.withColumn("_all", whole)
+    for w in plain(text, ascii_only=True).split():
+        out = out.filter(F.contains("_all", F.lit(w)))
+    return out.drop("_all")
+
+
+def colocated(places: DataFrame) -> DataFrame:
+    """Spots with the number of places on them."""
+    known = places.filter(geo.has_coordinates(F.col("latitude"), F.col("longitude")))
+    return known.groupBy(geo.spot(F.col("latitude"), F.col("longitude")).alias("spot")).agg(F.count(F.lit(1)).alias("places"))
 
 
 def nearest(places: DataFrame, lat: Column, lon: Column, by: list[str], limit: int | None = None) -> DataFrame:

@@ -367,7 +367,7 @@ def _watches(spark, sf_dir):
 
 
 def _prices(spark, sf_dir):
-    e = read(spark, sf_dir, "events").filter("event_type = 'purchase' and user_id % 100 < 90")
+    e = read(spark, sf_dir, "events").filter("event_type = 'purchase' and value > 30")
     return e.groupBy(F.concat(F.lit("g"), F.col("user_id") % 100).alias("group_key")).agg(
         F.min("value").alias("min_price"), F.min(F.struct("value", "user_id"))["user_id"].cast("string").alias("vendor"), F.count(F.lit(1)).alias("offer_count")
     )
@@ -377,7 +377,7 @@ _WATCH = """w AS (SELECT user_id, arg_min(value, (ts, event_id)) AS v FROM event
 watches AS (SELECT 'w' || user_id AS id, CAST(user_id AS VARCHAR) AS user_id, 'g' || (user_id % 100) AS group_key, CASE WHEN user_id % 3 = 0 THEN CAST(user_id % 40 AS DOUBLE) END AS target_price,
   CASE WHEN user_id % 5 <> 0 THEN v END AS last_price FROM w),
 prices AS (SELECT 'g' || (user_id % 100) AS group_key, min(value) AS min_price, CAST(arg_min(user_id, (value, user_id)) AS VARCHAR) AS vendor, count(*) AS offer_count FROM events
-  WHERE event_type = 'purchase' AND user_id % 100 < 90 GROUP BY 1)"""
+  WHERE event_type = 'purchase' AND value > 30 GROUP BY 1)"""
 
 
 @query(
@@ -472,16 +472,18 @@ def latest_per_key(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
+    """Orders that were there, and those of urgent priorities and of the last years anew."""
     o = read(spark, sf_dir, "orders")
-    value = o.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("note"))
-    old = value.filter("o_orderkey % 3 <> 0")
-    fresh = value.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", F.lit("N").alias("status"), (F.col("price") * 2).alias("price"))
+    value = o.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_totalprice") > 50_000, F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("note"), "o_orderdate")
+    since = F.lit("1999-01-01").cast("timestamp_ntz")
+    old = value.filter(F.col("o_orderdate") < since).drop("o_orderdate")
+    fresh = value.filter((F.col("o_orderdate") >= since) | (F.col("note") == "1-URGENT")).select("o_orderkey", "o_custkey", F.lit("N").alias("status"), (F.col("price") * 2).alias("price"))
     return old, fresh
 
 
 @query(
-    """WITH v AS (SELECT o_orderkey, o_custkey, o_orderstatus AS status, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price, o_orderpriority AS note FROM orders),
-o AS (SELECT * FROM v WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey, o_custkey, 'N' AS status, price * 2 AS price FROM v WHERE o_orderkey % 2 = 0)
+    """WITH v AS (SELECT o_orderkey, o_custkey, o_orderstatus AS status, CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS price, o_orderpriority AS note, o_orderdate FROM orders),
+o AS (SELECT * FROM v WHERE o_orderdate < TIMESTAMP '1999-01-01'), n AS (SELECT o_orderkey, o_custkey, 'N' AS status, price * 2 AS price FROM v WHERE o_orderdate >= TIMESTAMP '1999-01-01' OR note = '1-URGENT')
 SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, coalesce(o.o_custkey, n.o_custkey) AS o_custkey, CASE WHEN n.o_orderkey IS NULL THEN o.status ELSE n.status END AS status,
 coalesce(n.price, o.price) AS price, o.note AS note FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
 )
@@ -491,13 +493,15 @@ def upsert_coalesce(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT l_suppkey AS vendor, l_partkey AS title, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2), f AS (SELECT * FROM o WHERE title % 10 < vendor % 12 AND vendor % 6 <> 5),
+    """WITH o AS (SELECT l_suppkey AS vendor, l_partkey AS title, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2),
+f AS (SELECT DISTINCT l_suppkey AS vendor, l_partkey AS title FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_extendedprice < 10 * s_acctbal),
 r AS (SELECT vendor, count(*) AS had, (SELECT count(*) FROM f WHERE f.vendor = o.vendor) AS has FROM o GROUP BY 1)
 SELECT o.vendor AS vendor, title, price FROM o JOIN r USING (vendor) WHERE has = 0 OR has < 0.5 * had OR EXISTS (SELECT 1 FROM f WHERE f.vendor = o.vendor AND f.title = o.title)"""
 )
 def delist_ratio_guard(spark, sf_dir):
     old = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("vendor"), F.col("l_partkey").alias("title")).agg(F.min("l_extendedprice").alias("price"))
-    fresh = old.filter("title % 10 < vendor % 12 and vendor % 6 <> 5")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    fresh = read(spark, sf_dir, "lineitem").join(s, "l_suppkey").filter("l_extendedprice < 10 * s_acctbal").select(F.col("l_suppkey").alias("vendor"), F.col("l_partkey").alias("title")).distinct()
     return merge.delist(old, fresh, ["vendor", "title"], "vendor").select("vendor", "title", "price")
 
 

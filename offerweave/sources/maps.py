@@ -56,3 +56,37 @@ def split_cells(cells: DataFrame, full: int, deepest: int) -> tuple[DataFrame, D
     quarters = F.array(box(s, w, mid_lat, mid_lon), box(s, mid_lon, mid_lat, e), box(mid_lat, w, n, mid_lon), box(mid_lat, mid_lon, n, e))
     split = full_cells.filter(F.col("depth") < deepest).select(F.explode(quarters).alias("q"), (F.col("depth") + 1).alias("depth")).select("q.*", "depth")
     return split, full_cells.filter(F.col("depth") >= deepest)
+
+
+#: Days of the week from Sunday.
+DAYS = ["Ned", "Pon", "Uto", "Sre", "Čet", "Pet", "Sub"]
+OPENING = "struct<mode: string, timeRanges: array<struct<startTime: struct<date: string, hour: int, minute: int>, endTime: struct<date: string, hour: int, minute: int>>>>"
+
+
+def opening_hours(hours):
+    """Lines of days and hours of an OPENING struct; its mode if there is none."""
+    clock = lambda t: F.when(t["hour"].between(0, 23) & t["minute"].between(0, 59), F.format_string("%02d:%02d", t["hour"], t["minute"]))
+    days = F.array(*[F.lit(d) for d in DAYS])
+
+    def day(t):
+        date = t["date"].try_cast("date")
+        return F.when(F.trim(F.coalesce(t["date"], F.lit(""))) == "", F.lit("")).when(date.isNotNull(), F.get(days, F.dayofweek(date) - 1)).otherwise(t["date"])
+
+    def line(r):
+        a, b, x, y = clock(r["startTime"]), clock(r["endTime"]), day(r["startTime"]), day(r["endTime"])
+        to = F.when((y == "") | (x == y), b).otherwise(F.concat_ws(" ", y, b))
+        return F.when(a.isNotNull() & b.isNotNull(), F.trim(F.concat(x, F.lit(" "), a, F.lit("-"), to)))
+
+    lines = F.filter(F.transform(hours["timeRanges"], line), lambda x: x.isNotNull())
+    return F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.trim(hours["mode"]), F.lit(""))
+
+
+def full_address(*parts):
+    """Parts that aren't blank, joined by commas."""
+    return F.concat_ws(", ", *[F.nullif(F.trim(F.coalesce(p, F.lit(""))), F.lit("")) for p in parts])
+
+
+def humanized(value):
+    """fast_food as Fast Food."""
+    ws = F.filter(F.split(F.replace(F.coalesce(value, F.lit("")), F.lit("_"), F.lit(" ")), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(ws, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
