@@ -26,6 +26,8 @@ TREES = 6
 #: Vectors that the trees are fitted on at most, that a leaf should hold, and that are compared
 #: without another split; vectors of the sample that a leaf needs.
 SAMPLE, LEAF, WHOLE, LEAST = 16_384, 1_024, 6_000, 16
+#: Numbers that the sample may hold on the driver, whatever the length of its vectors.
+SAMPLE_NUMBERS = 2_000_000
 #: Spill on each side of a split, in standard deviations of a linked pair's projected distance.
 SPILL = 0.5
 #: Parts for vectors of another length than most of the sample.
@@ -220,7 +222,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     rows = table(rows.withColumn("_v", F.when(sound, v)).withColumn("_key", F.when(F.col("_v").isNotNull(), F.xxhash64("_v"))))
     classes = table(rows.filter("_v is not null").groupBy("_key", "_v").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_n")))
-    some = classes.select("_v", "_key").orderBy("_key").limit(sample).collect()
+    longest = classes.agg(F.max(F.size("_v"))).first()[0] or 1
+    some = classes.select("_v", "_key").orderBy("_key").limit(min(sample, max(1, SAMPLE_NUMBERS // longest))).collect()
     sizes = np.bincount([len(r["_v"]) for r in some] or [1])
     size = int(sizes.argmax())
     own = np.array([r["_v"] for r in some if len(r["_v"]) == size], np.float64).reshape(-1, size)
