@@ -724,3 +724,182 @@ def grouped_search(spark, sf_dir):
 @query()
 def quick_search(spark, sf_dir):
     return search.quick_search(_parts(spark, sf_dir), "red bolt")
+
+
+@query(f"WITH {GROUPS} SELECT group_key, vendor_count, product_count, min_price FROM groups ORDER BY vendor_count DESC, product_count DESC, group_key LIMIT 10 OFFSET 20")
+def page_offset(spark, sf_dir):
+    order = [F.col("vendor_count").desc(), F.col("product_count").desc(), F.col("group_key")]
+    return groups(spark, sf_dir).orderBy(*order).offset(20).limit(10).select("group_key", "vendor_count", "product_count", "min_price")
+
+
+@query(
+    """WITH a AS (SELECT c_custkey, c_nationkey AS nation, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS segment FROM customer),
+s AS (SELECT nation, segment, count(*) AS n FROM a GROUP BY 1, 2)
+SELECT c_custkey, n FROM a JOIN s ON a.nation = s.nation AND a.segment IS NOT DISTINCT FROM s.segment"""
+)
+def null_safe_keys(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"))
+    s = a.groupBy(F.col("nation").alias("_n"), F.col("segment").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    return a.join(s, (F.col("nation") == F.col("_n")) & filters.same(F.col("segment"), F.col("_s"))).select("c_custkey", "n")
+
+
+@query(
+    """WITH st AS (SELECT upper(p_name) AS original_title, p_name || ' ' || p_type AS title, p_brand AS brand, p_size / 100.0 AS confidence FROM part),
+k AS (SELECT lower(trim(original_title)) AS key, 0 AS prio, * FROM st UNION ALL SELECT lower(trim(title)), 1, * FROM st),
+b AS (SELECT key, brand FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY prio, confidence DESC, title, original_title, brand) = 1),
+t AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN ' ' || p_name ELSE p_name || ' ' || p_type END AS title FROM part)
+SELECT p_partkey, b.brand IS NOT NULL AS found FROM t LEFT JOIN b ON b.key = lower(trim(t.title))"""
+)
+def standard_lookup(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    std = p.select(F.upper("p_name").alias("original_title"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("brand"), (F.col("p_size") / 100.0).alias("confidence"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
+    rows = p.select("p_partkey", F.when(F.col("p_size") > 25, F.concat(F.lit(" "), "p_name")).otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("title"))
+    return merge.standardize(rows, std, ["brand"]).select("p_partkey", F.col("std_brand").isNotNull().alias("found"))
+
+
+@query("SELECT o_custkey AS k, 'order' AS origin FROM (SELECT DISTINCT o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)) UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_acctbal > 0")
+def insert_absent(spark, sf_dir):
+    old = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.lit("customer").alias("origin"))
+    fresh = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.lit("order").alias("origin")).distinct()
+    return merge.insert_absent(old, fresh, ["k"])
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN s_name ELSE n_name END AS phone FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def fill_blank(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.when(F.col("s_acctbal") > 5000, F.col("s_name")).otherwise("").alias("phone"))
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("phone"))
+    return merge.fill_blank(s, n, "nation", ["phone"]).select("s_suppkey", "phone")
+
+
+@query("SELECT c_nationkey AS vendor_id, c_custkey AS id FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_name, c_custkey) = 1")
+def best_place(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("vendor_id"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("rating"), F.lit(None).cast("double").alias("popularity"), F.col("c_name").alias("name"))
+    return places.best_place(c).select("vendor_id", "id")
+
+
+@query(
+    """SELECT event_id, round(coalesce((value - min(value) OVER (PARTITION BY user_id)) / nullif(max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id), 0), 0), 6) AS scaled FROM events"""
+)
+def price_scaled(spark, sf_dir):
+    return catalog.scaled(read(spark, sf_dir, "events"), "user_id", "value").select("event_id", F.round("scaled", 6).alias("scaled"))
+
+
+@query(
+    """WITH a AS (SELECT l_partkey AS group_key, min(l_extendedprice) AS old_price FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+b AS (SELECT l_partkey AS group_key, min(l_extendedprice) AS min_price FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1)
+SELECT group_key, min_price, old_price, round((old_price - min_price) / old_price * 100) AS drop_percent FROM a JOIN b USING (group_key) WHERE min_price < old_price"""
+)
+def price_drops(spark, sf_dir):
+    line, at = read(spark, sf_dir, "lineitem"), F.lit("1998-01-01").cast("timestamp_ntz")
+    least = lambda rows: rows.groupBy(F.col("l_partkey").alias("group_key")).agg(F.min("l_extendedprice").alias("min_price"))
+    return catalog.drops(least(line.filter(F.col("l_shipdate") >= at)), least(line.filter(F.col("l_shipdate") < at)))
+
+
+@query("SELECT printf('%.6f,%.6f', 42 + c_nationkey / 10.0, 19 + c_nationkey / 10.0) AS spot, count(*) AS places FROM customer GROUP BY 1")
+def colocated_places(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select((42 + F.col("c_nationkey") / 10.0).alias("latitude"), (19 + F.col("c_nationkey") / 10.0).alias("longitude"))
+    return places.colocated(c)
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT p_brand AS vendor_id, lower(replace(p_brand, '#', ' ')) AS v FROM part), p AS (SELECT p_partkey AS place_id, lower(replace(p_name || ' ' || p_brand, '#', ' ')) AS p FROM part)
+SELECT vendor_id, place_id FROM v JOIN p ON contains(p, v) OR list_has_all(string_split(p, ' '), string_split(v, ' '))"""
+)
+def vendor_place_match(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    v = part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("name"), F.lit(None).cast("string").alias("website")).distinct()
+    p = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.lit("").alias("website"))
+    return places.match_vendors(v, p)
+
+
+#: A dictionary whose phrases are part names and words of them.
+PART_WORDS = D.Dictionaries.of(
+    [("alpha", "supplement", ["red bolt", "blue"]), ("beta", "otc", ["bolt"]), ("gamma", "cosmetic", ["red", "small gear"]), ("delta", "supplement", ["small"])],
+    {"known": ["red bolt", "bolt", "small gear", "gear", "small"], "strip": ["hot"], "cosmetic": ["large"]},
+    {"noise": ["new"], "forms": ["rod"]},
+)
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part),
+f AS (SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN ['alpha'] WHEN p_name = 'small gear' THEN ['gamma'] ELSE list_concat(
+  CASE WHEN w[1] = 'red' THEN ['gamma'] WHEN w[1] = 'small' THEN ['delta'] WHEN w[1] = 'blue' THEN ['alpha'] ELSE [] END, CASE WHEN w[2] = 'bolt' THEN ['beta'] ELSE [] END) END AS found FROM w)
+SELECT p_partkey, array_to_string(list_sort(found), ' ') AS found FROM f"""
+)
+def ingredient_detect(spark, sf_dir):
+    found = D.ingredients(T.normalize_key(F.col("p_name")), PART_WORDS)
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(found, " ").alias("found"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_name IN ('red bolt', 'small gear') THEN p_name WHEN starts_with(p_name, 'small ') THEN 'small' WHEN ends_with(p_name, ' bolt') THEN 'bolt'
+WHEN ends_with(p_name, ' gear') THEN 'gear' END AS brand FROM part"""
+)
+def brand_detect(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", D.detect_brand(T.normalize_identity(F.col("p_name")), PART_WORDS).alias("brand"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'Oral Care' WHEN p_name IN ('red bolt') OR (starts_with(p_name, 'blue')) OR (starts_with(p_name, 'small') AND p_name <> 'small gear') THEN 'Supplements & Vitamins'
+WHEN ends_with(p_name, ' bolt') THEN 'OTC Medicines' WHEN starts_with(p_name, 'large') THEN 'Cosmetics & Skincare' WHEN p_type = 'LARGE' THEN 'OTC Medicines' END AS category FROM part WHERE p_type <> 'ECONOMY'
+UNION ALL SELECT p_partkey, NULL FROM part WHERE p_type = 'ECONOMY'"""
+)
+def category_assign(spark, sf_dir):
+    from offerweave.operators.categories import with_category
+
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_name").alias("core"), F.col("p_type").alias("category"), F.split("p_name", " ")[0].alias("brand"), F.lit("").alias("form"))
+    mapping = spark.sql("SELECT * FROM VALUES ('PROMO', 'Oral Care'), ('LARGE', 'OTC Medicines') AS m(raw, canonical)")
+    return with_category(p, PART_WORDS, mapping, ["ECONOMY"]).select("p_partkey", F.col("canonical_category").alias("category"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size > 20 AND p_name = 'red bolt' THEN 'Line Red' WHEN p_size > 20 AND p_name = 'small gear' THEN 'Line Small' END AS identity FROM part"""
+)
+def canonical_identity(spark, sf_dir):
+    from offerweave.operators.categories import with_canonical_identity
+
+    p = read(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("title"), F.initcap("p_name").alias("core"), F.when(F.col("p_size") > 20, F.lit(1.0)).alias("volume_value"), F.lit(0.0).alias("dosage_value"))
+    by_core = spark.sql("SELECT * FROM VALUES ('red bolt', 'Line Red'), ('small gear', 'Line Small') AS m(key, identity)")
+    return with_canonical_identity(p, by_core, by_core.limit(0)).select("p_partkey", F.col("canonical_identity").alias("identity"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at, CAST(date_diff('day', CAST(ts AS DATE), DATE '2024-02-05') AS INTEGER) AS days FROM events")
+def time_format(spark, sf_dir):
+    from offerweave.functions.dates import rfc3339
+
+    return read(spark, sf_dir, "events").select("event_id", rfc3339(F.col("ts")).alias("at"), F.datediff(F.lit("2024-02-05").cast("date"), "ts").alias("days"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, replace(format('{:,}', CAST(floor(l_extendedprice + 0.5) AS BIGINT)), ',', '.') AS price FROM lineitem")
+def price_format(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", hygiene.format_price(F.col("l_extendedprice")).alias("price"))
+
+
+@query("SELECT c_custkey, sha256(lower(trim(c_name))) AS email_key FROM customer")
+def email_key(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", filters.email_key(F.concat(F.lit(" "), F.upper("c_name"))).alias("email_key"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01' AND o_orderstatus <> 'F'")
+def valid_rows(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("used", F.when(F.col("o_orderstatus") == "F", 1))
+    return filters.valid(o, "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz"), "used").select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_retailprice > 1 AND length(trim(p_name)) >= 3 AND NOT starts_with(p_type, 'PROMO')")
+def product_validity(spark, sf_dir):
+    title = F.when(F.col("p_type") == "PROMO", "Placeholder").otherwise(F.col("p_name"))
+    return read(spark, sf_dir, "part").filter(hygiene.is_product(title, F.col("p_retailprice"))).select("p_partkey")
+
+
+@query(
+    """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages) SELECT DISTINCT 'https://x.rs' || link AS link FROM l WHERE starts_with(link, '/A')"""
+)
+def sitemap_links(spark, sf_dir):
+    """Links of a page put into a sitemap, read back and chosen by a pattern."""
+    from offerweave.sources.html import product_links
+    from offerweave.sources.html import sitemap_links as parse
+
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("<url><loc>https://x.rs"), F.replace(h, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    return product_links(parse(read(spark, sf_dir, "pages").select("url", body.alias("body"))), include=r"^https://x\.rs/A")
