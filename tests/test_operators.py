@@ -235,3 +235,27 @@ def test_trend_and_scale(spark):
     assert rows(catalog.scaled(h, "k", "v"), "k", "t", "scaled") == [("a", 1, 1.0), ("a", 2, 0.0), ("a", 3, 0.5), ("b", 1, 0.0)]
     now, before = (spark.createDataFrame([("g", p)], "group_key string, min_price double") for p in (75.0, 100.0))
     assert rows(catalog.drops(now, before), "drop_percent") == [(25.0,)]
+
+
+def test_windowed_lows(spark, tmp_path):
+    P = "ts timestamp, k string, v double"
+    spark.createDataFrame([("2024-01-01 01:00:00", "a", 5.0), ("2024-01-01 02:00:00", "a", 3.0), ("2024-01-02 01:00:00", "a", 9.0)], "ts string, k string, v double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    low = stream.lowest_by_window(spark.readStream.schema(P).parquet(str(tmp_path / "in")), "ts", "k", "v")
+    low.writeStream.format("memory").queryName("lows").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert rows(spark.table("lows"), "k", "low", "points") == [("a", 3.0, 2), ("a", 9.0, 1)]
+
+
+def test_copies_and_dumps(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "src" / "t"))
+    assert rows(snapshots.copy_tables(spark, str(tmp_path / "src"), str(tmp_path / "dst"), ["t"])) == [("t", 3)]
+    p = spark.createDataFrame([("1", "V", "k", "single", "d", 1, "f", "b", "c", "t")], "id string, vendor_name string, group_key string, group_method string, group_display string, group_size int, form string, brand string, core string, title string")
+    snapshots.write_groups(p, p.groupBy("group_key").count(), str(tmp_path / "dump"))
+    assert spark.read.csv(str(tmp_path / "dump" / "products"), header=True).count() == 1 and spark.read.json(str(tmp_path / "dump" / "groups")).first()["count"] == 1
+
+
+def test_unpriced_and_titles(spark):
+    data = [("a", 0.0), ("a", 1.0), ("a", None), ("b", 0.0), ("b", 1.0), ("b", 2.0)]
+    df = spark.createDataFrame(data, "vendor string, price double")
+    assert rows(merge.drop_unpriced(df, "vendor")) == sorted(data[:3] + data[4:], key=str)
+    t = spark.createDataFrame([(1, "v", "X &amp; Y"), (2, "v", "X & Y"), (3, "w", "X & Y - Apoteka Z")], "id int, vendor_id string, title string")
+    assert rows(merge.clean_titles(t)) == [(1, "v", "X & Y"), (3, "w", "X & Y")]
