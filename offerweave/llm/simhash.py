@@ -18,6 +18,7 @@ Each edge is verified by its number of differing bits before it is returned.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +36,9 @@ VARIANTS = BLOCKS * (64 - WIDTH + 1)
 #: Variants to a bucket.
 BUCKET = 500_000
 SEED = 42
+#: Bytes of a text that are hashed at once.
+PIECE = 1_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _blank(g: int) -> np.uint64:
@@ -50,22 +54,43 @@ FLIPS = np.stack([_flips(g) for g in range(BLOCKS)])
 FAR_MASKS = [sum(1 << b for b in c) for k in (2, 3) for c in combinations(range(WIDTH), k)]
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    words = text.lower().split()
-    if not words:
-        return 0
+def _ones(words: list[bytes], k: int) -> tuple[np.ndarray, int]:
+    """(how often each bit is set, number of hashes) over all runs of k words."""
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    k = min(shingle, len(words))
     starts, ends = (ends - sizes)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     of = xxhash.xxh64_intdigest
     h = np.array([of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65_536):  # bounded memory for very long texts
+    for at in range(0, len(h), 65_536):
         part = h[at : at + 65_536]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return ones, len(h)
+
+
+def _pieces(text: bytes, size: int):
+    """The text cut at white space into pieces of about ``size`` bytes."""
+    at = 0
+    while at < len(text):
+        to = at + size
+        space = _SPACE.search(text, to) if to < len(text) else None
+        to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
+
+
+def fingerprint(text: bytes, shingle: int = 3, piece: int = PIECE) -> int:
+    """The SimHash of a text, piece by piece: memory doesn't grow with its length."""
+    ones, n, held = np.zeros(64, np.int64), 0, []
+    for part in _pieces(text, piece):
+        held += part.lower().split()
+        if len(held) >= shingle:
+            more, count = _ones(held, shingle)
+            ones, n, held = ones + more, n + count, held[len(held) - shingle + 1 :]
+    if not n and held:
+        ones, n = _ones(held, len(held))
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:

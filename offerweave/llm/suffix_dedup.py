@@ -82,11 +82,24 @@ class Slice:
         self.least = sliding_min(common.rank(hashes(self.text, len(data) - K + 1)), window - K + 1) if n else np.zeros(0, np.uint64)
 
 
-def _slices(at: np.ndarray):
+def _parts(at: np.ndarray, window: int, size: int = SLICE):
+    """(first byte, end, bounds, first document) of parts of about ``size`` bytes: whole documents, or
+    stretches of a long one that overlap by all but a byte of a window, so that each window is in
+    one part."""
+    for i, j in _slices(at, size):
+        if at[j] - at[i] <= 2 * size:
+            yield int(at[i]), int(at[j]), at[i : j + 1] - at[i], i
+            continue
+        for a in range(int(at[i]), int(at[j]) - window + 1, size):
+            b = min(a + size + window - 1, int(at[j]))
+            yield a, b, np.array([0, b - a]), i
+
+
+def _slices(at: np.ndarray, size: int = SLICE):
     """Runs (first, end) of documents with about SLICE bytes."""
     i = 0
     while i < len(at) - 1:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield i, j
         i = j
 
@@ -139,11 +152,11 @@ def _number(key: np.ndarray, chunks: int) -> int:
 def _minimisers(ident, at, data, window, bits, common):
     """Sorted distinct values of a chunk and whether each occurs in two documents of it."""
     found, owners = [], []
-    for i, j in _slices(at):
-        s = Slice(data[at[i] : at[j]], at[i : j + 1] - at[i], window, common)
+    for a, b, bounds, i in _parts(at, window):
+        s = Slice(data[a:b], bounds, window, common)
         first, _ = runs_of(s.valid, s.doc, s.least)
         found.append(_values(s.least[first], bits))
-        owners.append(ident[i:j][s.doc[first]])
+        owners.append(ident[i + s.doc[first]])
     value, owner = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(value)
     value, owner = value[order], owner[order]
@@ -217,15 +230,15 @@ def _stretches(window: int, bits: int, hash_buckets: int, buckets: int, chunks:
             shared[bounds[b] : bounds[b + 1]] = np.unpackbits(flags, count=n).astype(bool)
         value = value[shared]
         got = []
-        for i, j in _slices(at):
-            s = Slice(data[at[i] : at[j]], at[i : j + 1] - at[i], window, common)
+        for a, b, bounds, i in _parts(at, window):
+            s = Slice(data[a:b], bounds, window, common)
             first, count = runs_of(s.valid, s.doc, s.least, most=window - K + 1)
             v = _values(s.least[first], bits)
             place = np.searchsorted(value, v)
             place[place == len(value)] = 0
             on = value[place] == v if len(value) else np.zeros(len(v), bool)
             first, count, v = first[on], count[on], v[on]
-            got.append((first + at[i], count, v, i + s.doc[first]))
+            got.append((first + a, count, v, i + s.doc[first]))
         first, count, v, doc = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(first):
             return

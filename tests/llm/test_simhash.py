@@ -35,7 +35,8 @@ def brute_components(fps, ids):
 
 def test_fingerprint():
     for t in (b"", b"a", b"A b", b"a\tB  c\n", b"x y z w q r s t" * 9, "é ß ñ Éa".encode() * 3):
-        assert simhash.fingerprint(t) == brute_fingerprint(t)
+        for piece in (1, 2, 5, 7, 1_000):
+            assert simhash.fingerprint(t, piece=piece) == brute_fingerprint(t)
 
 
 def test_resolve_loses_no_link():

@@ -96,6 +96,17 @@ def test_suffix_order_and_index():
         assert got == want
 
 
+@pytest.mark.parametrize("size", [60, 100, 333, 5_000])
+def test_parts_hold_each_window_once(size):
+    at = np.r_[0, np.cumsum([0, 30, 49, 50, 51, 700, 120, 2_345, 1])]
+    seen = []
+    for a, b, bounds, i in sd._parts(at, 50, size):
+        for d in range(len(bounds) - 1):
+            assert at[i + d] <= a + bounds[d] and a + bounds[d + 1] <= at[i + d + 1]
+            seen += [(i + d, int(x)) for x in range(a + bounds[d], a + bounds[d + 1] - 49)]
+    assert seen == [(d, x) for d in range(len(at) - 1) for x in range(at[d], at[d + 1] - 49)]
+
+
 def test_match():
     s = strings(11) * 2
     rng = random.Random(1)
