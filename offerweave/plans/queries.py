@@ -903,3 +903,40 @@ def sitemap_links(spark, sf_dir):
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
     body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(hrefs, lambda h: F.concat(F.lit("<url><loc>https://x.rs"), F.replace(h, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
     return product_links(parse(read(spark, sf_dir, "pages").select("url", body.alias("body"))), include=r"^https://x\.rs/A")
+
+
+@query("SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'vitamin c' WHEN 'blue' THEN 'iron' ELSE split_part(p_name, ' ', 1) END AS expanded FROM part")
+def expand_abbreviations(spark, sf_dir):
+    first = F.split("p_name", " ")[0]
+    short = F.when(first == "red", " VitC ").when(first == "blue", "FE").otherwise(first)
+    return read(spark, sf_dir, "part").select("p_partkey", search.expand_abbreviation(short).alias("expanded"))
+
+
+@query(
+    """WITH k AS (SELECT 'core::' || split_part(p_name, ' ', 1) AS group_key, p_name || ' ' || p_size || 'mg rod' AS title, nullif(split_part(p_name, ' ', 2), 'rod') AS sign FROM part)
+SELECT group_key, count(*) AS products, count(DISTINCT sign) AS signs FROM k GROUP BY 1 HAVING count(*) >= 4 AND count(DISTINCT sign) >= 2"""
+)
+def catch_all_groups(spark, sf_dir):
+    """Groups by a part's first word: titles differ in the second, packs and forms don't count."""
+    first = F.split("p_name", " ")[0]
+    k = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("core::"), first).alias("group_key"), F.lit("brand-core").alias("group_method"), F.initcap(first).alias("group_display"), first.alias("brand"),
+        F.concat("p_name", F.lit(" "), "p_size", F.lit("mg ROD")).alias("title"),
+    )
+    d = D.Dictionaries.of([], {}, {"forms": ["rod"]})
+    return audit.catch_alls(k, d).select("group_key", "products", "signs")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN p_name ELSE upper(p_type[1:1]) || lower(p_type[2:]) || ' ' || p_name || CASE WHEN p_size > 25 THEN ' ' || p_size || ' MG' ELSE '' END ||
+CASE WHEN p_size % 2 = 0 THEN ' ' || p_size || ' tablete' ELSE ' tablete' END END AS title FROM part"""
+)
+def standardized_title(spark, sf_dir):
+    from offerweave.functions.extract import standardized_title as title
+
+    none, size = F.lit(None).cast("string"), F.col("p_size").cast("double")
+    t = title(
+        F.when(F.col("p_type") == "PROMO", F.col("p_name")), F.lower("p_type"), F.col("p_name"), none, F.when(F.col("p_size") > 25, size), F.lit("mg"), F.lit(None).cast("double"), none,
+        F.lit("tab"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")),
+    )
+    return read(spark, sf_dir, "part").select("p_partkey", t.alias("title"))
