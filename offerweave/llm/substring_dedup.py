@@ -27,7 +27,7 @@ from offerweave.llm import packed, words
 K = 3
 #: Bytes of text that are worked on at once, that a bucket and a chunk of documents get, and that
 #: a mapper gathers before it sends.
-SLICE, BUCKET, CHUNK, HELD = 4_000_000, 4_000_000, 12_000_000, 24_000_000
+SLICE, BUCKET, CHUNK, HELD = 4_000_000, 2_500_000, 8_000_000, 24_000_000
 #: A run of K words is common if its share of the sample is at least this; bytes of that sample.
 COMMON, SAMPLE = 1 / 8192, 32_000_000
 
