@@ -230,7 +230,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     grown = forest(unit(own) if len(own) else own, classes.count(), least, trees, leaf)
     parts = len(grown) * (1 << grown[0].depth) + OTHERS
     sent = packed.send(packed.map_rows(classes, _spread(grown, size)), parts)
-    found = table(sent.mapInArrow(_compare(grown, least), COUNTS))
+    found = table(packed.map_batches(sent, _compare(grown, least), COUNTS))
     roots = connected_components(found.select("a", "b"))
     links = table(found.groupBy("b", "key").agg(F.sum("links").alias("_links")))
     named = table(

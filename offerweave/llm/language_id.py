@@ -261,4 +261,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     out = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*[f.name for f in kept], F.col(text_col).alias(text)).mapInArrow(run, out)
+    return packed.map_batches(docs.select(*[f.name for f in kept], F.col(text_col).alias(text)), run, out)

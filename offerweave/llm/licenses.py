@@ -192,7 +192,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     run = _scan(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
-    return rows.mapInArrow(
+    return packed.map_batches(
+        rows,
         run,
         f"_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "matches array<struct<word: long, words: long, label: string>>",

@@ -6,6 +6,7 @@ this way costs the JVM a few rows, and the bytes shuffled are compressed togethe
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -127,10 +128,28 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """``fn`` over each partition's record batches; it yields (part, blob)."""
+def give_back() -> None:
+    """Return freed memory to the system, as an idle worker would keep it beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``fn`` over each partition's record batches."""
 
     def run(batches):
-        yield from rows(fn(batches))
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """``fn`` over each partition's record batches; it yields (part, blob)."""
 
-    return df.mapInArrow(run, SCHEMA)
+    return map_batches(df, lambda batches: rows(fn(batches)), SCHEMA)

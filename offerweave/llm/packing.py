@@ -226,4 +226,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_group", F.pmod(F.xxhash64("_id", "_text"), F.lit(groups)).cast("int"))
     out = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.repartitionById(groups, F.col("_group")).mapInArrow(_pack(tokenizer, capacity, end), out).withColumnRenamed("_id", id_col)
+    return packed.map_batches(rows.repartitionById(groups, F.col("_group")), _pack(tokenizer, capacity, end), out).withColumnRenamed("_id", id_col)

@@ -104,7 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
             found = np.fromiter((fingerprint(data[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)), np.uint64, len(at) - 1)
             yield pa.record_batch([batch.column("_id"), pa.array(found.view(np.int64))], ["_id", "_fp"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _fp long")
+    return packed.map_batches(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, _fp long")
 
 
 def _emit(parts: int):
@@ -204,7 +204,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = table(of.groupBy("_fp").agg(F.min("_id").alias("_least")))
     parts = max(1, -(-classes.count() * VARIANTS // BUCKET))
     sent = packed.send(packed.map_rows(classes.select("_fp"), _emit(parts)), parts)
-    roots = connected_components(sent.mapInArrow(_meet, "a long, b long"))
+    roots = connected_components(packed.map_batches(sent, _meet, "a long, b long"))
     rooted = table(
         classes.join(roots, classes["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     )

@@ -177,7 +177,7 @@ def _common(docs: DataFrame, total: int) -> np.ndarray:
                 yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([len(x)])], ["v", "n"])
 
     some = docs.sample(fraction=min(1.0, SAMPLE / max(total, 1)), seed=7)
-    counts = some.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    counts = packed.map_batches(some, run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     most = int(1 / COMMON)
     found = counts.orderBy(F.col("v") == -1, F.col("n").desc(), "v").limit(most).collect()
     whole = counts.filter("v = -1").first()
@@ -383,5 +383,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = packed.map_rows(rows, gather_texts(chunks, len(keep)))
     kinds = dict(docs.dtypes)
     out = ", ".join(["_id long, n_words long, n_removed long, kept_text string", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)]])
-    found = packed.send(marks.unionByName(texts), chunks).mapInArrow(_apply(window, whole), out)
+    found = packed.map_batches(packed.send(marks.unionByName(texts), chunks), _apply(window, whole), out)
     return found.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])

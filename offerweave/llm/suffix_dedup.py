@@ -124,7 +124,7 @@ def _common(rows: DataFrame, total: int) -> Common:
                 yield pa.record_batch([pa.array([-1], pa.int64()), pa.array([n])], ["v", "n"])
 
     some = rows.sample(fraction=min(1.0, SAMPLE / total), seed=7)
-    counts = some.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    counts = packed.map_batches(some, run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.col("v") == -1, F.col("n").desc(), "v").limit(int(1 / COMMON)).collect()
     whole = counts.filter("v = -1").first()
     if whole is None:
@@ -393,4 +393,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     answers = packed.map_rows(packed.send(asked, hash_buckets), _answer)
     sent = packed.map_rows(packed.send(answers.unionByName(texts), chunks), _stretches(window, bits, hash_buckets, buckets, chunks, common))
     marks = packed.map_rows(packed.send(sent, buckets), _index(window, chunks))
-    return packed.send(marks.unionByName(texts), chunks).mapInArrow(_apply(window), out).withColumnRenamed("_id", id_col)
+    return packed.map_batches(packed.send(marks.unionByName(texts), chunks), _apply(window), out).withColumnRenamed("_id", id_col)

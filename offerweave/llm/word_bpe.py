@@ -193,4 +193,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     answers = packed.map_rows(asked, _encode(tokenizer))
     places = packed.map_rows(rows, _split(PLACE, buckets, chunks))
     found = packed.send(answers.unionByName(places), chunks)
-    return found.mapInArrow(_assemble(tokenizer), "_id long, n_tokens long, ids string, decoded string").withColumnRenamed("_id", id_col)
+    return packed.map_batches(found, _assemble(tokenizer), "_id long, n_tokens long, ids string, decoded string").withColumnRenamed("_id", id_col)
