@@ -222,18 +222,18 @@ def fit(texts: list[str], langs: list[str], pieces: list[bytes], rounds: int = R
 
 
 def train(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` distinct texts of each language, none over SAMPLE_BYTES, chosen
-    by a hash of the text among rows with a label that are not held out."""
+    """Fit on ``sample`` distinct texts of each language, or all if it has fewer, chosen by a hash
+    of the text among rows with a label that are not held out. Texts over SAMPLE_BYTES come after
+    all others, and only their first SAMPLE_BYTES characters count."""
     rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), held_out(F.col(id_col)).alias("_held"))
-    rows = rows.filter(f"not _held and _lang is not null and octet_length(_text) between 1 and {SAMPLE_BYTES}")
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
-    if not counts:
-        return fit([], [], vocabulary(vocab))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * sample / n))])
-    some = rows.withColumn("_h", F.xxhash64("_text")).filter(F.pmod("_h", F.lit(1 << 20)) < share[F.col("_lang")] * (1 << 20))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
-    chosen = some.groupBy("_lang", "_h").agg(F.first("_text").alias("_text")).withColumn("_at", place).filter(F.col("_at") <= sample)
-    got = chosen.orderBy("_lang", "_at").collect()
+    rows = rows.filter("not _held and _lang is not null and octet_length(_text) > 0")
+    rows = rows.select("_lang", "_text", F.xxhash64("_text").alias("_h"), (F.octet_length("_text") > SAMPLE_BYTES).alias("_long"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_long", "_h"))
+    distinct = rows.select("_lang", "_long", "_h").distinct()
+    chosen = F.broadcast(distinct.withColumn("_at", place).filter(F.col("_at") <= sample))
+    head = F.substring("_text", 1, SAMPLE_BYTES).alias("_text")
+    some = rows.join(chosen, ["_lang", "_long", "_h"]).select("_lang", "_at", head).groupBy("_lang", "_at").agg(F.min("_text").alias("_text"))
+    got = some.orderBy("_lang", "_at").collect()
     return fit([r["_text"] for r in got], [r["_lang"] for r in got], vocabulary(vocab))
 
 

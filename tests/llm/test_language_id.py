@@ -80,3 +80,21 @@ def test_held_out_accuracy(spark):
     test = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     langs, _ = model.predict(pa.array([r[1] for r in test]))
     assert np.mean([a == r[2] for a, r in zip(langs, test, strict=True)]) >= 0.97
+
+
+def test_sample_counts_distinct_texts_and_takes_long_ones(spark, monkeypatch):
+    """Copies don't use up a language's share; texts over the limit fill up what short ones leave."""
+    seen = []
+    monkeypatch.setattr(li, "fit", lambda texts, langs, pieces: seen.extend(zip(langs, texts, strict=True)))
+    rows = [(i, "the same house", "en") for i in range(20_000)]
+    rows += [(30_000 + i, f"house {'abcdefghij'[i % 10] * (i // 10 + 1)}", "en") for i in range(40)]
+    rows += [(40_000 + i, f"haus {i} " + "haus " * 4_000, "de") for i in range(20)]
+    own = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path)
+    assert sorted(t for x, t in seen if x == "en") == sorted({t for t, x in own if x == "en"})
+    assert sorted(t for x, t in seen if x == "de") == sorted({t[: li.SAMPLE_BYTES] for t, x in own if x == "de"})
+    seen.clear()
+    short = {t for i, t, x in rows[20_000:] if x == "en" and zlib.crc32(str(i).encode()) % 4 != 2}
+    li.train(spark.createDataFrame(rows[20_000:], "doc_id long, text string, lang string").withColumn("lang", F.lit("en")), path, sample=len(short) + 3)
+    assert len(seen) == len(short) + 3 and {t for _, t in seen} >= short
