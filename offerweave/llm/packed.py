@@ -9,6 +9,8 @@ from __future__ import annotations
 import ctypes
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +20,30 @@ from pyspark.sql import functions as F
 
 SCHEMA = "part int, blob binary"
 LEVEL = 3
+#: Blobs shorter than this are not compressed.
+PLAIN = 200
+#: Spark partitions of an exchange at most; where more buckets are named, a partition holds several
+#: and is sorted by bucket, so that its task works on one after another.
+MOST_PARTS = 20_000
 
 
 def pack(*arrays: np.ndarray | bytes, level: int = LEVEL) -> bytes:
-    parts = [struct.pack("<H", len(arrays))]
+    parts = [bytes([len(arrays)])]
     for x in arrays:
         x = np.frombuffer(x, np.uint8) if isinstance(x, (bytes, bytearray)) else np.ascontiguousarray(x)
-        parts += [struct.pack("<3sQ", x.dtype.str[1:].encode(), x.size), x.tobytes()]
-    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
+        parts += [struct.pack("<cI", x.dtype.char.encode(), x.size), x.tobytes()]
+    raw = b"".join(parts)
+    return b"\0" + raw if len(raw) < PLAIN else b"\1" + zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    (n,), at, out = struct.unpack_from("<H", raw), 2, []
-    for _ in range(n):
-        kind, size = struct.unpack_from("<3sQ", raw, at)
-        kind = np.dtype("<" + kind.rstrip(b"\0").decode())
-        out.append(np.frombuffer(raw, kind, size, at + 11))
-        at += 11 + size * kind.itemsize
+    raw = zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]) if blob[0] else blob[1:]
+    at, out = 1, []
+    for _ in range(raw[0]):
+        kind, size = struct.unpack_from("<cI", raw, at)
+        kind = np.dtype(kind.decode())
+        out.append(np.frombuffer(raw, kind, size, at + 5))
+        at += 5 + size * kind.itemsize
     return out
 
 
@@ -60,8 +68,27 @@ def rows(found: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def send(df: DataFrame, parts: int) -> DataFrame:
-    """Bring each row to the partition that it names."""
-    return df.repartitionById(parts, F.col("part"))
+    """Bring the rows of each bucket 0 .. parts - 1 together, for a task that works ``by_bucket``."""
+    if parts <= MOST_PARTS:
+        return df.repartitionById(parts, F.col("part"))
+    return df.repartitionById(MOST_PARTS, F.col("part") % MOST_PARTS).sortWithinPartitions("part")
+
+
+def by_bucket(fn: Callable) -> Callable:
+    """``fn`` over the batches of one bucket at a time; it must read all of them."""
+
+    def runs(batches):
+        for batch in batches:
+            part = np.asarray(batch.column("part"))
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield int(part[a]), batch.slice(a, b - a)
+
+    def run(batches):
+        for _, own in groupby(runs(batches), key=itemgetter(0)):
+            yield from fn(batch for _, batch in own)
+
+    return run
 
 
 def blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:

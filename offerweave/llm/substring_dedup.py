@@ -209,10 +209,10 @@ def _scatter(window: int, buckets: int, chunks: int, common: np.ndarray):
                 gone = np.zeros(len(s.valid), bool)
                 gone[where[later(group, s.ident[s.doc[where]], start[where])]] = True
                 first, count = runs_of(gone, s.doc[: len(gone)])
-                for c, i in packed.by_part(packed.deal(packed.mix(s.key[s.doc[first]].view(np.uint64)), chunks), chunks):
-                    d = s.doc[first[i]]
+                d = s.doc[first]
+                for c, blob in marks_of(s.ident[d], s.key[d], start[first], count, chunks):
                     spare += 1
-                    yield spare % buckets, packed.pack(np.array([c], np.int32), s.key[d], start[first[i]].astype(np.int32), count[i].astype(np.int32))
+                    yield spare % buckets, packed.pack(np.array([c], np.int32), blob)
                 x = rank(window_hashes(s.h, K), common)
                 least = sliding_min(x, window - K + 1)
                 first, count = runs_of(s.valid & ~gone, s.doc[: len(gone)], least, most=window - K + 1)
@@ -240,8 +240,8 @@ def _count(window: int, chunks: int):
         got = []
         for blob in packed.blobs(batches):
             x = packed.unpack(blob)
-            if len(x) == 4:  # settled before
-                yield int(x[0][0]), packed.pack(*x[1:])
+            if len(x) == 2:  # settled before
+                yield int(x[0][0]), x[1].tobytes()
             else:
                 got.append(x)
         if not got:
@@ -263,13 +263,22 @@ def _count(window: int, chunks: int):
         gone[where[later(group, ident[r], begin)]] = True
         at, count = runs_of(gone, run_of[: len(gone)])
         r = run_of[at]
-        begin = (start[r] + (at - first[r])).astype(np.int32)
-        for c, i in packed.by_part(packed.deal(packed.mix(key[r].view(np.uint64)), chunks), chunks):
-            yield c, packed.pack(key[r[i]], begin[i], count[i].astype(np.int32))
+        yield from marks_of(ident[r], key[r], start[r] + (at - first[r]), count, chunks)
 
     return run
 
 
+def marks_of(ident, key, begin, count, chunks: int):
+    """Marks (first, count) to the chunks of their documents: the id and key of each document once,
+    then how many marks it has, and these."""
+    for c, j in packed.by_part(packed.deal(packed.mix(key.view(np.uint64)), chunks), chunks):
+        j = j[np.lexsort((begin[j], ident[j], key[j]))]
+        i, k = ident[j], key[j]
+        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])])
+        many = np.diff(np.r_[first, len(j)])
+        yield c, packed.pack(np.r_[i[first], k[first]], packed.narrow(many), begin[j].astype(np.int32), packed.narrow(count[j]))
+
+
 def gather_texts(chunks: int, keep: int = 0):
     """Documents to their chunks, compressed together with their first ``keep`` columns."""
 
@@ -281,7 +290,10 @@ def gather_texts(chunks: int, keep: int = 0):
                 ident, null = packed.ids(part.column("_id"))
                 null = null + 2 * np.asarray(part.column("_text").is_null()).astype(np.uint8)
                 key = np.asarray(part.column("_key"), np.int64)
-                for c, i in packed.by_part(packed.deal(packed.mix(key.view(np.uint64)), chunks), chunks):
+                to = packed.deal(packed.mix(key.view(np.uint64)), chunks)
+                bare = np.flatnonzero(np.diff(at) == 0)  # nothing is marked there: any chunk will do
+                to[bare] = (np.arange(len(bare)) + int(key[:1].view(np.uint64)[0] % np.uint64(chunks))) % chunks
+                for c, i in packed.by_part(to, chunks):
                     text = b"".join([raw[x:y] for x, y in zip(at[i].tolist(), at[i + 1].tolist(), strict=True)])
                     rest = []
                     if keep:
@@ -298,7 +310,7 @@ def gather_texts(chunks: int, keep: int = 0):
 def by_document(batches):
     """The texts of a chunk and what is marked in them: (ident, null, at, data, doc of each mark,
     start, count, kept columns). ``null`` has 1 for a null id and 2 for a null text. A mark counts
-    for every row with its key."""
+    for every row with its id and key."""
     docs, marks = [], []
     for blob in packed.blobs(batches):
         x = packed.unpack(blob)
@@ -309,12 +321,16 @@ def by_document(batches):
     kept = [pa.ipc.open_stream(pa.py_buffer(x[5])).read_all() for x in docs if len(x) > 5]
     kept = pa.concat_tables(kept).combine_chunks() if kept else None
     at = np.r_[0, np.cumsum(size)]
-    k, start, count = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 3
+    del docs
+    marks = [(*(np.repeat(x, many.astype(np.int64)) for x in np.split(name, 2)), start, count) for name, many, start, count in marks]
+    who, k, start, count = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 4
     order = np.argsort(key, kind="stable")
     low, high = np.searchsorted(key[order], k), np.searchsorted(key[order], k, "right")
     times = high - low
     mark = np.repeat(np.arange(len(k)), times)
     doc = order[np.repeat(low, times) + np.arange(len(mark)) - np.repeat(np.cumsum(times) - times, times)]
+    own = ident[doc] == who[mark]  # keys are hashes: the id settles
+    mark, doc = mark[own], doc[own]
     return ident, null, at, data, doc, start[mark].astype(np.int64), count[mark].astype(np.int64), kept
 
 
@@ -379,9 +395,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets, chunks = max(1, -(-total // BUCKET)), max(1, -(-total // CHUNK))
     own = rows.select("_id", "_text", "_key")
     sent = packed.send(packed.map_rows(own, _scatter(window, buckets, chunks, _common(own, total) if total else np.zeros(0, np.uint64))), buckets)
-    marks = packed.map_rows(sent, _count(window, chunks))
+    marks = packed.map_rows(sent, packed.by_bucket(_count(window, chunks)))
     texts = packed.map_rows(rows, gather_texts(chunks, len(keep)))
     kinds = dict(docs.dtypes)
     out = ", ".join(["_id long, n_words long, n_removed long, kept_text string", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)]])
-    found = packed.map_batches(packed.send(marks.unionByName(texts), chunks), _apply(window, whole), out)
+    found = packed.map_batches(packed.send(marks.unionByName(texts), chunks), packed.by_bucket(_apply(window, whole)), out)
     return found.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])

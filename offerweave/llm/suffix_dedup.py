@@ -5,8 +5,9 @@
    repeat, and only it goes on.
 2. Stretches of windows that share such a minimiser are sent to its bucket, identical ones of a
    chunk once. The bucket builds a run-compressed Burrows-Wheeler transform of the distinct
-   stretches, with samples of the smallest document for each interval of suffixes that share a
-   window, streams every stretch through it, and marks the windows that match an earlier document.
+   stretches with samples at the run ends, streams the stretches through it, which gives how far
+   each place matches another (matching statistics), and marks the matches of a window or more
+   whose interval of suffixes holds an earlier document.
 3. Marks go back to the chunks, where the marked bytes are taken out.
 
 Texts travel compressed, by chunk. A passage that very many documents share doesn't load a bucket:
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from offerweave.llm import packed
 from offerweave.llm.run_length_index import RunLengthIndex
-from offerweave.llm.substring_dedup import by_document, docs_table, gather_texts, later, runs_of, sliding_min
+from offerweave.llm.substring_dedup import by_document, docs_table, gather_texts, later, marks_of, runs_of, sliding_min
 
 K = 20
-SLICE, CHUNK, BUCKET = 1_000_000, 12_000_000, 8_000_000
+SLICE, CHUNK, BUCKET = 1_000_000, 6_000_000, 4_000_000
+#: Bytes of stretches that are indexed at once; a bucket that holds more is cut by minimiser.
+INDEX = 2_000_000
 #: Minimisers to a bucket of hashes; bits beyond those that number all places.
 VALUES, SPARE_BITS = 1_000_000, 14
 #: A hash is common if its share of the sample is at least this; bytes of that sample.
@@ -145,7 +148,7 @@ def _chunk(batches):
 
 
 def _number(key: np.ndarray, chunks: int) -> int:
-    """The chunk of documents with these keys."""
+    """The chunk of documents with these keys, none of them empty."""
     return int(packed.deal(packed.mix(key[:1].view(np.uint64)), chunks)[0])
 
 
@@ -178,8 +181,10 @@ def _ask(window: int, bits: int, buckets: int, chunks: int, common: Common):
         if (found := _chunk(batches)) is None:
             return
         ident, _, key, at, data, _ = found
+        if not len(data):
+            return
         value, multi = _minimisers(ident, at, data, window, bits, common)
-        me = _number(key, chunks)
+        me = _number(key[np.diff(at) > 0], chunks)
         bounds = _bucket_bounds(value, buckets, bits)
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             v = value[bounds[b] : bounds[b + 1]]
@@ -221,7 +226,9 @@ def _stretches(window: int, bits: int, hash_buckets: int, buckets: int, chunks:
         if (found := _chunk(batches)) is None:
             return
         ident, _, key, at, data, rest = found
-        me = _number(key, chunks)
+        if not len(data):
+            return
+        me = _number(key[np.diff(at) > 0], chunks)
         value, _ = _minimisers(ident, at, data, window, bits, common)
         bounds = _bucket_bounds(value, hash_buckets, bits)
         shared = np.zeros(len(value), bool)
@@ -261,8 +268,8 @@ def _stretches(window: int, bits: int, hash_buckets: int, buckets: int, chunks:
         gone[order] = later(group, ident[doc[order]], np.zeros(len(first), np.int64))
         start = first - at[doc]
         i = np.flatnonzero(gone)
-        if len(i):
-            yield me % buckets, packed.pack(np.array([me], np.int32), key[doc[i]], start[i].astype(np.int32), packed.narrow(count[i]))
+        for _, blob in marks_of(ident[doc[i]], key[doc[i]], start[i], count[i], 1):
+            yield me % buckets, packed.pack(np.array([me], np.int32), blob)
         keep = np.flatnonzero(~gone)
         for p, i in packed.by_part(packed.deal(packed.mix(v[keep]), buckets), buckets):
             i = keep[i]
@@ -290,13 +297,11 @@ def match(data: np.ndarray, size: np.ndarray, ident: np.ndarray, window: int) ->
     np.minimum.at(least, which, ident)
     heads = np.array(distinct)
     own = np.concatenate([data[a:b] for a, b in zip(at[heads].tolist(), at[heads + 1].tolist(), strict=True)])
+    del number, distinct, raw, data
     index = RunLengthIndex(own, np.r_[0, np.cumsum(size[heads])], least, window)
-    string, offset = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, o, owner in index.stream():
-        hit = owner < least[s]
-        string.append(s[hit])
-        offset.append(o[hit])
-    string, offset = np.concatenate(string), np.concatenate(offset)
+    string, offset, owner = index.repeats()
+    hit = owner < least[string]
+    string, offset = string[hit], offset[hit].astype(np.int64)
     order = np.lexsort((offset, string))
     string, offset = string[order], offset[order]
     new = np.r_[True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)] if len(string) else np.zeros(0, bool)
@@ -315,23 +320,53 @@ def match(data: np.ndarray, size: np.ndarray, ident: np.ndarray, window: int) ->
     )
 
 
-def _index(window: int, chunks: int):
+def groups_of(data: np.ndarray, size: np.ndarray, window: int, common: Common, most: int):
+    """Runs of positions of stretches, each of about ``most`` bytes, or one minimiser's if these are
+    more: stretches of different minimisers share no window."""
+    if len(data) <= most:
+        yield np.arange(len(size))
+        return
+    at = np.r_[0, np.cumsum(size)]
+    least = np.empty(len(size), np.uint64)
+    for i, j in _slices(at):
+        least[i:j] = Slice(data[at[i] : at[j]], at[i : j + 1] - at[i], window, common).least[at[i:j] - at[i]]
+    order = np.argsort(least)
+    least, ends = least[order], np.cumsum(size[order])
+    edges = np.flatnonzero(np.r_[True, least[1:] != least[:-1], True])  # of minimisers
+    upto = np.r_[0, ends][edges]
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, "right")) - 1)
+        yield np.sort(order[edges[i] : edges[j]])
+        i = j
+
+
+def _index(window: int, chunks: int, common: Common, most: int):
     def run(batches):
         got = []
         for blob in packed.blobs(batches):
             x = packed.unpack(blob)
-            if len(x) == 4:  # settled before
-                yield int(x[0][0]), packed.pack(*x[1:])
+            if len(x) == 2:  # settled before
+                yield int(x[0][0]), x[1].tobytes()
             else:
                 got.append(x)
         if not got:
             return
         ident, key, start, size, data = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        i, offset, count = match(data, size.astype(np.int64), ident, window)
-        begin = (start[i] + offset).astype(np.int32)
-        for c, j in packed.by_part(packed.deal(packed.mix(key[i].view(np.uint64)), chunks), chunks):
-            yield c, packed.pack(key[i[j]], begin[j], packed.narrow(count[j]))
+        del got, x
+        size = size.astype(np.int64)
+        at = np.r_[0, np.cumsum(size)]
+        found = []
+        for some in groups_of(data, size, window, common, most):
+            if len(some) == len(size):
+                own = data
+            else:
+                own = np.concatenate([data[a:b] for a, b in zip(at[some].tolist(), at[some + 1].tolist(), strict=True)])
+            i, offset, count = match(own, size[some], ident[some], window)
+            found.append((some[i], (start[some[i]] + offset).astype(np.int32), count.astype(np.int32)))
+        del data
+        i, begin, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield from marks_of(ident[i], key[i], begin, count, chunks)
 
     return run
 
@@ -350,9 +385,10 @@ def _apply(window: int):
         first[1:] &= ~gone[:-1]
         edges = at[:-1][at[:-1] < at[1:]]
         first[edges] = gone[edges]
-        removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(first)]
+        removed, spans = (np.r_[0, np.cumsum(x, dtype=np.int32)][at].astype(np.int64) for x in (gone, first))
         kept = data[~gone]
-        to = at - removed[at]
+        del data, gone, first
+        to = at - removed
         for i, j in _slices(to):
             own = slice(i, j)
             text = kept[to[i] : to[j]]
@@ -361,8 +397,8 @@ def _apply(window: int):
                 [
                     pa.array(ident[own], mask=(null[own] & 1).astype(bool)),
                     pa.array(np.diff(at)[own]),
-                    pa.array((removed[at[1:]] - removed[at[:-1]])[own]),
-                    pa.array((spans[at[1:]] - spans[at[:-1]])[own].astype(np.int64)),
+                    pa.array(np.diff(removed)[own]),
+                    pa.array(np.diff(spans)[own]),
                     pa.Array.from_buffers(pa.binary(), j - i, [None, offsets, pa.py_buffer(np.ascontiguousarray(text))]),
                 ],
                 ["_id", "n_bytes", "n_removed", "n_spans", "kept"],
@@ -389,8 +425,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hash_buckets, buckets = max(1, -(-places // VALUES)), max(1, -(-total * 4 // BUCKET))
     common = _common(rows, total) if total else Common(np.zeros(0, np.uint64))
     texts = packed.map_rows(rows, gather_texts(chunks))
-    asked = packed.map_rows(packed.send(texts, chunks), _ask(window, bits, hash_buckets, chunks, common))
-    answers = packed.map_rows(packed.send(asked, hash_buckets), _answer)
-    sent = packed.map_rows(packed.send(answers.unionByName(texts), chunks), _stretches(window, bits, hash_buckets, buckets, chunks, common))
-    marks = packed.map_rows(packed.send(sent, buckets), _index(window, chunks))
-    return packed.map_batches(packed.send(marks.unionByName(texts), chunks), _apply(window), out).withColumnRenamed("_id", id_col)
+    asked = packed.map_rows(packed.send(texts, chunks), packed.by_bucket(_ask(window, bits, hash_buckets, chunks, common)))
+    answers = packed.map_rows(packed.send(asked, hash_buckets), packed.by_bucket(_answer))
+    both = packed.send(answers.unionByName(texts), chunks)
+    sent = packed.map_rows(both, packed.by_bucket(_stretches(window, bits, hash_buckets, buckets, chunks, common)))
+    marks = packed.map_rows(packed.send(sent, buckets), packed.by_bucket(_index(window, chunks, common, INDEX)))
+    both = packed.send(marks.unionByName(texts), chunks)
+    return packed.map_batches(both, packed.by_bucket(_apply(window)), out).withColumnRenamed("_id", id_col)

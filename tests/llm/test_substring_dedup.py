@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from offerweave.llm import packed
 from offerweave.llm import substring_dedup as sd
 
 
@@ -63,6 +64,7 @@ def test_kept_columns_and_whole_texts(spark):
 
 
 def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packed, "MOST_PARTS", 3)  # several buckets to a partition
     for name, value in (("BUCKET", 2_000), ("CHUNK", 3_000)):
         monkeypatch.setattr(sd, name, value)
     rows = cases(2)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from offerweave.llm import packed
 from offerweave.llm import suffix_dedup as sd
 from offerweave.llm.run_length_index import RunLengthIndex, suffix_order
 
@@ -48,7 +49,8 @@ def run(spark, rows, n=50):
 @pytest.mark.parametrize("size,window", [(0, 50), (3_000, 50), (2_000, 28)])
 def test_against_brute_force(spark, monkeypatch, size, window):
     if size:
-        for name, value in (("CHUNK", size), ("BUCKET", 4 * size), ("VALUES", 300)):
+        monkeypatch.setattr(packed, "MOST_PARTS", 3)  # several buckets to a partition
+        for name, value in (("CHUNK", size), ("BUCKET", 4 * size), ("VALUES", 300), ("INDEX", 500)):
             monkeypatch.setattr(sd, name, value)
     rows = cases(size)
     assert run(spark, rows, window) == brute(rows, window)
@@ -87,7 +89,7 @@ def test_suffix_order_and_index():
         assert order.tolist() == sorted(range(len(left)), key=lambda p: (text[p : p + left[p]], p))
         index = RunLengthIndex(data, at, owner, 50)
         assert len(index.run) < len(left) / 2  # repetitive strings have few runs
-        got = {(i, o): int(x) for a, b, c in index.stream() for i, o, x in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)}
+        got = {(i, o): x for i, o, x in zip(*(x.tolist() for x in index.repeats()), strict=True)}
         places = {}
         for i, x in enumerate(s):
             for o in range(len(x) - 49):
@@ -96,6 +98,24 @@ def test_suffix_order_and_index():
         assert got == want
 
 
+def test_matching_statistics():
+    """Streamed from the samples at run ends: the longest match of each suffix with another one."""
+    for seed in range(5):
+        s = strings(seed)
+        index = RunLengthIndex(np.frombuffer(b"".join(s), np.uint8), np.r_[0, np.cumsum([len(x) for x in s])], np.arange(len(s)), 50)
+        suffixes = sorted(x[o:] for x in s for o in range(len(x)))
+
+        def shared(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+        longest = {}
+        for a, b in zip(suffixes[:-1], suffixes[1:], strict=True):
+            n = shared(a, b)
+            longest[a], longest[b] = max(longest.get(a, 0), n), max(longest.get(b, 0), n)
+        for alive, read, _, upper, lower in index.statistics():
+            assert np.maximum(upper, lower).tolist() == [longest[s[i][len(s[i]) - read :]] for i in alive.tolist()]
+
+
 @pytest.mark.parametrize("size", [60, 100, 333, 5_000])
 def test_parts_hold_each_window_once(size):
     at = np.r_[0, np.cumsum([0, 30, 49, 50, 51, 700, 120, 2_345, 1])]
