@@ -71,11 +71,32 @@ def send(df: DataFrame, parts: int) -> DataFrame:
     """Bring the rows of each bucket 0 .. parts - 1 together, for a task that works ``by_bucket``."""
     if parts <= MOST_PARTS:
         return df.repartitionById(parts, F.col("part"))
-    return df.repartitionById(MOST_PARTS, F.col("part") % MOST_PARTS).sortWithinPartitions("part")
+    return ordered(df.repartitionById(MOST_PARTS, F.col("part") % MOST_PARTS), parts)
 
 
-def by_bucket(fn: Callable) -> Callable:
-    """``fn`` over the batches of one bucket at a time; it must read all of them."""
+def ordered(df: DataFrame, parts: int) -> DataFrame:
+    """Partitions of many buckets, sorted by bucket."""
+    return df.sortWithinPartitions("part") if parts > MOST_PARTS else df
+
+
+def share(df: DataFrame, parts: int) -> DataFrame:
+    """As send(), by a hash of the bucket: an exchange that several plans read but that is written
+    once, and that together() unites with others without moving it again."""
+    return df.repartition(min(parts, MOST_PARTS), "part")
+
+
+def together(a: DataFrame, b: DataFrame, parts: int) -> DataFrame:
+    """The rows of two shared exchanges, each bucket's in one task. Spark unites partitions that are
+    dealt alike one by one; where that is switched off, the rows are dealt again."""
+    both = a.unionByName(b)
+    if a.sparkSession.conf.get("spark.sql.unionOutputPartitioning") != "true":
+        both = share(both, parts)
+    return ordered(both, parts)
+
+
+def by_bucket(fn: Callable, parts: int) -> Callable:
+    """``fn`` over the batches of one bucket at a time. A partition has few buckets and is gathered,
+    or many (more than MOST_PARTS exist) and comes sorted; then ``fn`` must read all it is given."""
 
     def runs(batches):
         for batch in batches:
@@ -84,11 +105,18 @@ def by_bucket(fn: Callable) -> Callable:
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 yield int(part[a]), batch.slice(a, b - a)
 
-    def run(batches):
+    def in_order(batches):
         for _, own in groupby(runs(batches), key=itemgetter(0)):
             yield from fn(batch for _, batch in own)
 
-    return run
+    def gathered(batches):
+        held = {}
+        for part, batch in runs(batches):
+            held.setdefault(part, []).append(batch)
+        while held:
+            yield from fn(held.pop(next(iter(held))))
+
+    return in_order if parts > MOST_PARTS else gathered
 
 
 def blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:

@@ -316,6 +316,8 @@ def by_document(batches):
         x = packed.unpack(blob)
         (docs if len(x) >= 5 else marks).append(x)
     if not docs:
+        if marks:
+            raise RuntimeError("marks without the texts of their chunk")
         return None
     ident, null, key, size, data = (np.concatenate(x) for x in list(zip(*docs, strict=True))[:5])
     kept = [pa.ipc.open_stream(pa.py_buffer(x[5])).read_all() for x in docs if len(x) > 5]
@@ -395,9 +397,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets, chunks = max(1, -(-total // BUCKET)), max(1, -(-total // CHUNK))
     own = rows.select("_id", "_text", "_key")
     sent = packed.send(packed.map_rows(own, _scatter(window, buckets, chunks, _common(own, total) if total else np.zeros(0, np.uint64))), buckets)
-    marks = packed.map_rows(sent, packed.by_bucket(_count(window, chunks)))
+    marks = packed.map_rows(sent, packed.by_bucket(_count(window, chunks), buckets))
     texts = packed.map_rows(rows, gather_texts(chunks, len(keep)))
     kinds = dict(docs.dtypes)
     out = ", ".join(["_id long, n_words long, n_removed long, kept_text string", *[f"_{i} {kinds[c]}" for i, c in enumerate(keep)]])
-    found = packed.map_batches(packed.send(marks.unionByName(texts), chunks), packed.by_bucket(_apply(window, whole)), out)
+    found = packed.map_batches(packed.send(marks.unionByName(texts), chunks), packed.by_bucket(_apply(window, whole), chunks), out)
     return found.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)])

@@ -10,7 +10,7 @@
    whose interval of suffixes holds an earlier document.
 3. Marks go back to the chunks, where the marked bytes are taken out.
 
-Texts travel compressed, by chunk. A passage that very many documents share doesn't load a bucket:
+Texts travel compressed, by chunk, through one exchange that three steps read. A passage that very many documents share doesn't load a bucket:
 a chunk sends each stretch of it once, and stretches at its edges go by minimisers of what
 surrounds it, since frequent ones (of a bounded sample) are ranked last; that list only chooses
 buckets, no result depends on it.
@@ -142,6 +142,8 @@ def _chunk(batches):
         x = packed.unpack(blob)
         (docs if len(x) >= 5 else rest).append(x)
     if not docs:
+        if rest:
+            raise RuntimeError("answers without the texts of their chunk")
         return None
     ident, null, key, size, data = (np.concatenate(x) for x in zip(*docs, strict=True))
     return ident, null, key, np.r_[0, np.cumsum(size)], data, rest
@@ -232,6 +234,8 @@ def _stretches(window: int, bits: int, hash_buckets: int, buckets: int, chunks:
         value, _ = _minimisers(ident, at, data, window, bits, common)
         bounds = _bucket_bounds(value, hash_buckets, bits)
         shared = np.zeros(len(value), bool)
+        if len(rest) != np.count_nonzero(np.diff(bounds)):
+            raise RuntimeError("a chunk lacks answers of buckets that it asked")
         for (b,), flags in rest:
             n = bounds[b + 1] - bounds[b]
             shared[bounds[b] : bounds[b + 1]] = np.unpackbits(flags, count=n).astype(bool)
@@ -424,11 +428,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = min(63, places.bit_length() + SPARE_BITS)
     hash_buckets, buckets = max(1, -(-places // VALUES)), max(1, -(-total * 4 // BUCKET))
     common = _common(rows, total) if total else Common(np.zeros(0, np.uint64))
-    texts = packed.map_rows(rows, gather_texts(chunks))
-    asked = packed.map_rows(packed.send(texts, chunks), packed.by_bucket(_ask(window, bits, hash_buckets, chunks, common)))
-    answers = packed.map_rows(packed.send(asked, hash_buckets), packed.by_bucket(_answer))
-    both = packed.send(answers.unionByName(texts), chunks)
-    sent = packed.map_rows(both, packed.by_bucket(_stretches(window, bits, hash_buckets, buckets, chunks, common)))
-    marks = packed.map_rows(packed.send(sent, buckets), packed.by_bucket(_index(window, chunks, common, INDEX)))
-    both = packed.send(marks.unionByName(texts), chunks)
-    return packed.map_batches(both, packed.by_bucket(_apply(window)), out).withColumnRenamed("_id", id_col)
+    texts = packed.share(packed.map_rows(rows, gather_texts(chunks)), chunks)
+    asked = packed.map_rows(packed.ordered(texts, chunks), packed.by_bucket(_ask(window, bits, hash_buckets, chunks, common), chunks))
+    answers = packed.map_rows(packed.send(asked, hash_buckets), packed.by_bucket(_answer, hash_buckets))
+    both = packed.together(packed.share(answers, chunks), texts, chunks)
+    sent = packed.map_rows(both, packed.by_bucket(_stretches(window, bits, hash_buckets, buckets, chunks, common), chunks))
+    marks = packed.map_rows(packed.send(sent, buckets), packed.by_bucket(_index(window, chunks, common, INDEX), buckets))
+    both = packed.together(packed.share(marks, chunks), texts, chunks)
+    return packed.map_batches(both, packed.by_bucket(_apply(window), chunks), out).withColumnRenamed("_id", id_col)
