@@ -31,6 +31,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
+#: Runs of so many white space characters are left to tokenizers.
+SPACES = 50_000
+_LONG_SPACE = re.compile(r"\s{%d}" % SPACES)
+
+
 class Tournament:
     """First bin with room for an item: a complete binary tree whose inner nodes hold the largest
     free capacity below them."""
@@ -137,7 +142,8 @@ def ranks(path: str) -> dict[bytes, int]:
 
 class Encoder:
     """Ids of whole texts as a tokenizers file gives them. A plain byte-level vocabulary is run by
-    tiktoken, several times faster; texts that hold an added token are left to tokenizers."""
+    tiktoken, several times faster; texts that hold an added token or a very long run of white
+    space are left to tokenizers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -156,13 +162,15 @@ class Encoder:
     def encode_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _plain(self, text: str) -> bool:
+        """Whether the fast way can take a text: no added token, and no run of white space so long
+        that its look-ahead would exhaust the stack."""
+        return not (self.added and self.added.search(text)) and (len(text) < SPACES or not _LONG_SPACE.search(text))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.fast is None:
             return [np.array(x, np.uint32) for x in self.encode_ids(texts)]
-        return [
-            np.array(self.encode_ids([t])[0] if self.added and self.added.search(t) else self.fast.encode_ordinary(t), np.uint32)
-            for t in texts
-        ]
+        return [np.array(self.fast.encode_ordinary(t) if self._plain(t) else self.encode_ids([t])[0], np.uint32) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -70,6 +70,11 @@ def test_encoder_any(text):
     assert [x.tolist() for x in encode([text, "", text + "<|endoftext|>"])] == [want, [], TOK.encode(text + "<|endoftext|>").ids]
 
 
+@pytest.mark.parametrize("odd", [" " * 1_000_000 + "x", "a" + "\n" * 600_000, "\u2003" * 200_000 + " y", "ab " * 100_000])
+def test_very_long_white_space(odd):
+    assert packing.encoder(PATH)([odd])[0].tolist() == TOK.encode(odd, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("groups", [1, 5])
 def test_against_brute_force(spark, monkeypatch, groups):
     rng = random.Random(4)
