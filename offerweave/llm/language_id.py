@@ -2,9 +2,9 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's score under
 a language is the sum over all its segmentations into pieces of the product of their
-probabilities, which a forward pass over the word gives; a text's score is the product over its
-words. The probabilities are fitted by expectation maximisation over the same lattice, on a
-bounded sample of labelled texts.
+probabilities, which a forward pass over the whole word gives, however long; a text's score is the
+product over its words. The probabilities are fitted by expectation maximisation over the same
+lattice, on a bounded sample of labelled texts (there words over PART bytes count as several).
 
 Distinct words are scored once for each slice of a partition, all together as arrays. Nothing is
 shuffled but the sample.
@@ -24,8 +24,9 @@ SLICE = 4_000_000
 #: The sample that the model is fitted on: texts of each language, and bytes a text may have.
 SAMPLE, SAMPLE_BYTES = 600, 16_384
 ROUNDS = 3
-#: Pieces of up to so many bytes are used; words are scored in parts of at most so many bytes.
-PIECE, PART = 9, 32
+#: Words of up to so many bytes are scored together as arrays, longer ones one by one; the model is
+#: fitted on parts of at most so many bytes.
+PART = 32
 SMOOTH = 0.1
 NONE = "und"
 
@@ -45,7 +46,7 @@ def vocabulary(path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             found.add(model.id_to_piece(i).replace("▁", " ").encode())
-    return sorted(p for p in found if 0 < len(p) <= PIECE)
+    return sorted(p for p in found if p)
 
 
 class Lattice:
@@ -53,7 +54,7 @@ class Lattice:
     character that the vocabulary lacks."""
 
     def __init__(self, pieces: list[bytes]):
-        self.unknown = len(pieces)
+        self.unknown, self.longest = len(pieces), max(map(len, pieces), default=1)
         h = np.zeros(len(pieces), np.uint64)
         for i, p in enumerate(pieces):
             v = 0
@@ -90,7 +91,7 @@ class Lattice:
             h = np.zeros(len(parts), np.uint64)
             lead = _LEAD[text[:, s]]
             alone = np.zeros(len(parts), bool)
-            for n in range(1, min(PIECE, width - s) + 1):
+            for n in range(1, min(self.longest, width - s) + 1):
                 h = h * _B + (text[:, s + n - 1].astype(np.uint64) + np.uint64(1))
                 w = np.flatnonzero((lead > 0) & (s + n <= size))
                 piece = self.find(h[w])
@@ -118,7 +119,11 @@ class Lattice:
     def score(self, parts: list[bytes], prob: np.ndarray) -> np.ndarray:
         """Log-probability of each word under each language."""
         out = np.empty((len(parts), prob.shape[1]))
-        order = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(lengths, kind="stable")
+        for i in order[np.searchsorted(lengths[order], PART, "right") :].tolist():
+            out[i] = self.score_long(parts[i], prob)
+        order = order[: np.searchsorted(lengths[order], PART, "right")]
         for at in range(0, len(order), 20_000):
             some = order[at : at + 20_000]
             size, edges = self.edges([parts[i] for i in some])
@@ -126,6 +131,47 @@ class Lattice:
             out[some] = np.log(np.maximum(alpha[size, np.arange(len(some))], 1e-290))
         return out
 
+    def pieces_of(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces in a word, by start."""
+        text = np.frombuffer(word, np.uint8)
+        lead = _LEAD[text]
+        begin = np.flatnonzero(lead > 0)
+        alone = np.zeros(len(text), bool)
+        h, found = np.zeros(len(begin), np.uint64), []
+        for n in range(1, self.longest + 1):
+            on = begin + n <= len(text)
+            begin, h = begin[on], h[on]
+            h = h * _B + (text[begin + n - 1].astype(np.uint64) + np.uint64(1))
+            piece = self.find(h)
+            hit = piece >= 0
+            at = begin[hit]
+            alone[at] |= lead[at] == n
+            found.append((at, at + n, piece[hit]))
+        rest = np.flatnonzero((lead > 0) & ~alone)
+        found.append((rest, np.minimum(rest + lead[rest], len(text)), np.full(len(rest), self.unknown, np.int32)))
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], piece[order]
+
+    def score_long(self, word: bytes, prob: np.ndarray) -> list[float]:
+        """As score() for one word of any length: the forward pass is scaled up as it falls."""
+        start, end, piece = self.pieces_of(word)
+        start, end, piece = start.tolist(), end.tolist(), piece
+        out = []
+        for k in range(prob.shape[1]):
+            alpha, log, shift = [0.0] * (len(word) + 1), 0.0, 2.0**300
+            alpha[0], here = 1.0, -1
+            for s, e, p in zip(start, end, prob[piece, k].tolist(), strict=True):
+                if s != here:
+                    here = s
+                    ahead = slice(s, s + self.longest + 1)
+                    if alpha[s] < 1e-60 and max(alpha[ahead]) < 1e-60:
+                        alpha[ahead] = [x * shift for x in alpha[ahead]]
+                        log -= 300 * np.log(2.0)
+                alpha[e] += alpha[s] * p
+            out.append(float(np.log(max(alpha[-1], 1e-290)) + log))
+        return out
+
     def expect(self, parts: list[bytes], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected number of times each piece is used, by language."""
         out = np.zeros_like(prob)
@@ -148,7 +194,7 @@ class Lattice:
 
 
 def parts_of(distinct: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """(parts, word of each part): long words are cut between characters."""
+    """(parts, word of each part), to fit on: long words are cut between characters."""
     parts, of = [], []
     for i, w in enumerate(distinct):
         w = b" " + w
@@ -187,9 +233,7 @@ class Model:
             letters[i] = any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode())
         out = np.zeros((len(at) - 1, len(self.languages)))
         if distinct and self.languages:
-            parts, of = parts_of(distinct)
-            scored = np.zeros((len(distinct), len(self.languages)))
-            np.add.at(scored, of, self.lattice.score(parts, self.prob))
+            scored = self.lattice.score([b" " + w for w in distinct], self.prob)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
             for k in range(len(self.languages)):
                 out[:, k] = np.bincount(doc, scored[code, k], len(at) - 1)

@@ -37,6 +37,29 @@ def test_forward_sums_all_segmentations():
             assert got[i, k] == pytest.approx(np.log(brute(w, prob[:, k], number)), rel=1e-9), w
 
 
+def test_long_words_are_summed_whole():
+    """Words over PART bytes against a forward pass in logarithms, and both ways against each other."""
+    rng = np.random.default_rng(2)
+    prob = rng.random((len(PIECES) + 1, 2)) * 1e-4
+    number = {p: i for i, p in enumerate(PIECES)}
+    lattice = li.Lattice(PIECES)
+    words = [" information".encode(), " xyzinternational".encode(), " ñandú你好".encode(), " ".encode()]
+    for w, row in zip(words, lattice.score(words, prob), strict=True):
+        assert lattice.score_long(w, prob) == pytest.approx(row.tolist(), rel=1e-9)
+    for w in (" " + "internationalización" * 40, " " + "你好é" * 300 + "x", " " + "q" * 2_000):
+        w = w.encode()
+        alpha = np.full((len(w) + 1, 2), -np.inf)
+        alpha[0] = 0
+        for s in range(len(w)):
+            n = li._LEAD[w[s]]
+            ends = {s + k: number[w[s : s + k]] for k in range(1, lattice.longest + 1) if s + k <= len(w) and w[s : s + k] in number}
+            if n and s + int(n) not in ends:
+                ends[s + int(n)] = len(PIECES)
+            for e, i in ends.items() if n else ():
+                alpha[e] = np.logaddexp(alpha[e], alpha[s] + np.log(prob[i]))
+        assert lattice.score([w], prob)[0] == pytest.approx(alpha[-1], rel=1e-9)
+
+
 TEXTS = {"en": "the house is near the river and the children play with their dogs", "de": "das haus steht nahe am fluss und die kinder spielen mit ihren hunden", "fr": "la maison est près de la rivière et les enfants jouent avec leurs chiens"}
 
 
