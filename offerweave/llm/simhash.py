@@ -62,11 +62,16 @@ def _ones(words: list[bytes], k: int) -> tuple[np.ndarray, int]:
     starts, ends = (ends - sizes)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     of = xxhash.xxh64_intdigest
     h = np.array([of(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return set_bits(h), len(h)
+
+
+def set_bits(h: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         part = h[at : at + 65_536]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return ones, len(h)
+    return ones
 
 
 def _pieces(text: bytes, size: int):
@@ -191,6 +196,13 @@ def _meet(batches):
             yield pa.record_batch([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], ["a", "b"])
 
 
+def ball_links(distinct: DataFrame, rows: int) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints (column _fp, ``rows`` distinct ones) that link."""
+    parts = max(1, -(-rows * VARIANTS // BUCKET))
+    sent = packed.send(packed.map_rows(distinct, _emit(parts)), parts)
+    return packed.map_batches(sent, packed.by_bucket(_meet, parts), "a long, b long")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
@@ -202,9 +214,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     of = table(fingerprints(docs, id_col, text_col, shingle))
     classes = table(of.groupBy("_fp").agg(F.min("_id").alias("_least")))
-    parts = max(1, -(-classes.count() * VARIANTS // BUCKET))
-    sent = packed.send(packed.map_rows(classes.select("_fp"), _emit(parts)), parts)
-    roots = connected_components(packed.map_batches(sent, _meet, "a long, b long"))
+    roots = connected_components(ball_links(classes.select("_fp"), classes.count()))
     rooted = table(
         classes.join(roots, classes["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     )

@@ -170,10 +170,15 @@ def _assemble(path: str):
 
 
 def in_order(df: DataFrame) -> DataFrame:
-    """``df`` such that reading it twice gives the same rows in the same order: a plain scan does,
-    the rows of a shuffle are written first."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return table(df) if "Exchange" in plan else df
+    """``df`` such that reading it twice gives the same rows in the same order: filters and columns
+    over files do, if they are deterministic; everything else is written first."""
+    nodes, plan = [df._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        plan.append(node)
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    plain = all(n.nodeName().split()[0] in ("Project", "Filter", "Relation", "LogicalRelation", "LocalRelation") and n.deterministic() for n in plan)
+    return df if plain else table(df)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +195,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = in_order(rows)
     asked = packed.send(packed.map_rows(rows, _split(ASK, buckets, chunks)), buckets)
-    answers = packed.map_rows(asked, _encode(tokenizer))
+    answers = packed.map_rows(asked, packed.by_bucket(_encode(tokenizer), buckets))
     places = packed.map_rows(rows, _split(PLACE, buckets, chunks))
     found = packed.send(answers.unionByName(places), chunks)
-    return packed.map_batches(found, _assemble(tokenizer), "_id long, n_tokens long, ids string, decoded string").withColumnRenamed("_id", id_col)
+    return packed.map_batches(found, packed.by_bucket(_assemble(tokenizer), chunks), "_id long, n_tokens long, ids string, decoded string").withColumnRenamed("_id", id_col)

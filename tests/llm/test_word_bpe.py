@@ -14,7 +14,7 @@ TEXTS = [None, "", " \n ", "Hello, World's  été 123 <|endoftext|> naïve x ​
 @pytest.mark.parametrize("size", [0, 3_000])
 def test_against_the_library(spark, monkeypatch, size):
     rng = random.Random(6)
-    texts = TEXTS + ["".join(rng.choices("abAB'. \n1é,", k=rng.randint(0, 900))) for _ in range(60)] + ["very long " * 30_000]
+    texts = TEXTS + ["".join(rng.choices("abAB'. \n1é,", k=rng.randint(0, 900))) for _ in range(60)] + ["very long " * 30_000, "word" * 50_000, " " * 300_000 + "x"]
     if size:
         monkeypatch.setattr(word_bpe, "CHUNK", size)
         monkeypatch.setattr(word_bpe, "BUCKET", size)
@@ -30,3 +30,12 @@ def test_against_the_library(spark, monkeypatch, size):
 
 def test_empty(spark):
     assert word_bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_rows_without_a_fixed_order(spark):
+    """Two passes over a plan that isn't deterministic would differ: it is written first."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), (F.rand() * 500).cast("int").cast("string"), F.lit(" a b")).alias("text"))
+    got = word_bpe.encode_documents(df, PATH).collect()
+    assert len(got) == 3_000 and all(len(r.ids.split()) == r.n_tokens for r in got)
