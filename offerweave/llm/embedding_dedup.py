@@ -1,14 +1,16 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Each tree splits space again and again by a random direction at a random quantile near the middle.
-Vectors within ``margin`` of a split go to both sides (spill), so that a linked pair seldom parts;
-several independent trees make it rarer still. In each leaf vectors are compared in blocks by
-cosine in double precision. A pair is counted only in the first leaf (by tree, then leaf) that
-both ends share, so links are counted exactly once without sending pairs anywhere; a leaf returns
-counts and the edges of a spanning forest.
-
-Equal vectors are one node with a weight. The trees are fitted on a bounded sample; every vector
-is indexed and compared.
+Each tree splits space again and again by a random direction (one a level) at a random quantile
+near the middle. Vectors within ``margin`` of a split go to both sides (spill), so that a linked
+pair seldom parts; several independent trees make it rarer still. In each leaf vectors are
+compared in blocks by cosine in double precision, all with all. A pair is counted only in the
+first leaf (by tree, then leaf) that both ends share, so links are counted exactly once without
+sending pairs anywhere; a leaf returns counts and the edges of a spanning forest.
+
+Trees are as deep as leaves of bounded size need. Their upper levels are fitted on the projections
+of a bounded sample; what lies below is fitted by one task for each node there, on a share of all
+vectors, so that only thresholds (one a leaf) reach the driver. Equal vectors are one node with a
+weight. Vectors of each length have a forest of their own. Every vector is indexed and compared.
 """
 
 from __future__ import annotations
@@ -22,45 +24,63 @@ from offerweave.llm import packed
 from offerweave.llm.components import connected_components
 from offerweave.llm.shared import table
 
-TREES = 6
-#: Vectors that the trees are fitted on at most, that a leaf should hold, and that are compared
-#: without another split; vectors of the sample that a leaf needs.
-SAMPLE, LEAF, WHOLE, LEAST = 16_384, 1_024, 6_000, 16
-#: Numbers that the sample may hold on the driver, whatever the length of its vectors.
-SAMPLE_NUMBERS = 2_000_000
-#: Spill on each side of a split, in standard deviations of a linked pair's projected distance.
-SPILL = 0.5
-#: Parts for vectors of another length than most of the sample.
-OTHERS = 16
+#: Trees at least; so many more that a pair at the limit is missed less often than MISSED.
+TREES, MISSED = 6, 1e-4
+#: Vectors whose projections fit the upper levels at most, that a leaf should hold, and that a
+#: leaf needs to be fitted on.
+SAMPLE, LEAF, LEAST = 16_384, 1_024, 16
+#: Spill on each side of a split, in standard deviations of a linked pair's projected distance, and
+#: the share of pairs at the limit that a level parts then: the excess of a normal difference over
+#: twice the spill (0.17 deviations of 0.32) times the density of projections at the middle (0.4).
+SPILL, PARTED = 0.5, 0.021
+#: Numbers of a block of comparisons.
+BLOCK = 4_000_000
 
 
 class Tree:
-    """A full binary tree of depth ``depth``: directions and thresholds of its inner nodes."""
+    """A full binary tree of depth ``depth``: a direction a level, a threshold an inner node."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int, margin: float):
-        rng = np.random.default_rng(seed)
-        self.depth, self.margin = depth, margin
-        self.direction = rng.standard_normal((max(1, (1 << depth) - 1), sample.shape[1]))
+    def __init__(self, size: int, depth: int, seed: int, margin: float):
+        rng = np.random.default_rng([seed, size])
+        self.seed, self.depth, self.margin = seed, depth, margin
+        self.direction = rng.standard_normal((depth, size))
         self.direction /= np.linalg.norm(self.direction, axis=1, keepdims=True)
-        self.threshold = np.zeros(len(self.direction))
-        at = [np.arange(len(sample))]
-        for level in range(depth):
+        self.threshold = np.zeros((1 << depth) - 1)
+
+    def projections(self, x: np.ndarray, level: int = 0) -> np.ndarray:
+        """Of unit vectors on the directions from ``level`` on."""
+        return np.stack([project(x, d) for d in self.direction[level:]], 1) if self.depth > level else np.zeros((len(x), 0))
+
+    def fit(self, p: np.ndarray, level: int, node: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """(inner nodes, thresholds) below ``node`` of ``level`` down to level ``to``; p are the
+        projections, from ``level`` on, of vectors that lie there."""
+        at, nodes, cuts = [np.arange(len(p))], [], []
+        for k in range(to - level):
             below = []
-            for k, rows in enumerate(at):
-                node = (1 << level) - 1 + k
-                p = project(sample[rows], self.direction[node])
-                cut = np.quantile(p, rng.uniform(0.4, 0.6)) if len(p) else 0.0
-                self.threshold[node] = cut
-                below += [rows[p <= cut], rows[p > cut]]
+            for i, rows in enumerate(at):
+                here = (1 << (level + k)) - 1 + (node << k) + i
+                share = np.random.default_rng([self.seed, here]).uniform(0.4, 0.6)
+                cut = np.quantile(p[rows, k], share) if len(rows) else 0.0
+                nodes.append(here)
+                cuts.append(cut)
+                below += [rows[p[rows, k] <= cut], rows[p[rows, k] > cut]]
             at = below
+        return np.array(nodes, np.int64), np.array(cuts)
+
+    def place(self, x: np.ndarray, to: int) -> np.ndarray:
+        """The node of level ``to`` that each vector lies in."""
+        node = np.zeros(len(x), np.int64)
+        for level in range(to):
+            node = 2 * node + (project(x, self.direction[level]) > self.threshold[(1 << level) - 1 + node])
+        return node
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of each place of each vector."""
         rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         for level in range(self.depth):
-            at = (1 << level) - 1 + node
-            p = project(x[rows], self.direction[at])
-            low, high = p <= self.threshold[at] + self.margin, p >= self.threshold[at] - self.margin
+            cut = self.threshold[(1 << level) - 1 + node]
+            p = project(x, self.direction[level])[rows]
+            low, high = p <= cut + self.margin, p >= cut - self.margin
             rows, node = np.r_[rows[low], rows[high]], np.r_[2 * node[low], 2 * node[high] + 1]
         return rows, node
 
@@ -76,72 +96,126 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def forest(sample: np.ndarray, rows: int, least: float, trees: int = TREES, leaf: int = LEAF) -> list[Tree]:
-    """Trees for ``rows`` unit vectors; one without a split if they fit a leaf."""
-    depth = max(0, int(np.ceil(np.log2(max(1, rows) / leaf))))
-    depth = min(depth, max(0, int(np.log2(max(1, len(sample) / LEAST)))))
-    margin = SPILL * np.sqrt(max(0.0, 2 - 2 * least) / sample.shape[1])
-    return [Tree(sample, depth, seed, margin) for seed in range(trees if depth else 1)]
-
-
-def pairs_within(x: np.ndarray, least: float, seed: int = 0, whole: int = WHOLE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of unit vectors with cosine >= least; large sets are split as by a tree."""
-    heads, tails = [], []
-
-    def compare(rows):
-        for at in range(0, len(rows), 512):
-            a = rows[at : at + 512]
-            i, j = np.nonzero(x[a] @ x[rows[at:]].T >= least - 1e-9)
-            a, b = a[i], rows[at + j]
-            ok = a < b
-            a, b = a[ok], b[ok]
-            exact = (x[a] * x[b]).sum(1) >= least  # one way of rounding for every pair
-            heads.append(a[exact])
-            tails.append(b[exact])
-
-    def split(rows, depth):
-        if len(rows) <= whole or depth > 40:
-            return compare(rows)
-        rng = np.random.default_rng([seed, depth, len(rows)])
-        d = rng.standard_normal(x.shape[1])
-        p = project(x[rows], d / np.linalg.norm(d))
-        cut, margin = np.median(p), SPILL * 2 * np.sqrt(max(0.0, 2 - 2 * least) / x.shape[1])
-        low, high = rows[p <= cut + margin], rows[p >= cut - margin]
-        if max(len(low), len(high)) > 0.9 * len(rows):
-            return compare(rows)
-        split(low, depth + 1)
-        split(high, depth + 1)
-
-    split(np.arange(len(x)), 0)
-    a, b = np.concatenate([*heads, np.zeros(0, np.int64)]), np.concatenate([*tails, np.zeros(0, np.int64)])
-    if len(x) > whole and len(a):
-        code = np.unique(a * len(x) + b)
-        a, b = np.divmod(code, len(x))
-    return a, b
-
-
-def _spread(trees: list[Tree], size: int):
-    leaves = 1 << trees[0].depth
+class Forest:
+    """Trees for ``rows`` vectors of one length; one without a split if they fit a leaf. ``first``
+    is the number of its first bucket."""
+
+    def __init__(self, size: int, rows: int, least: float, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, first: int = 0):
+        self.size, self.rows, self.first = size, rows, first
+        self.depth = depth = max(0, int(np.ceil(np.log2(max(1, rows) / leaf))))
+        self.top = min(depth, max(0, int(np.log2(max(1, min(rows, sample) / LEAST)))))
+        if depth:
+            trees = max(trees, int(np.ceil(np.log(MISSED) / np.log(1 - (1 - PARTED) ** depth))))
+        margin = SPILL * np.sqrt(max(0.0, 2 - 2 * least) / size)
+        self.trees = [Tree(size, depth, seed, margin) for seed in range(trees if depth else 1)]
+
+    @property
+    def buckets(self) -> int:
+        return len(self.trees) << self.depth
+
+
+def vectors_of(batch: pa.RecordBatch):
+    """(length, rows, vectors) for each length in a batch."""
+    column = batch.column("_v")
+    lengths = np.diff(np.asarray(column.offsets))
+    flat, at = np.asarray(column.flatten()), np.r_[0, np.cumsum(lengths)]
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        yield int(length), rows, flat[at[rows][:, None] + np.arange(length)]
+
+
+def _share(classes: DataFrame, of: dict[int, float]) -> DataFrame:
+    """About this share of the vectors of each length, chosen by their hash."""
+    share = F.lit(0.0)
+    for size, part in of.items():
+        share = F.when(F.size("_v") == size, F.lit(part)).otherwise(share)
+    return classes.filter((F.shiftrightunsigned(F.xxhash64("_key"), 11) / float(1 << 53)) < share)
+
+
+def fit(forests: list[Forest], classes: DataFrame, sample: int = SAMPLE) -> None:
+    """Thresholds of all trees."""
+    by_size = {f.size: f for f in forests if f.depth}
+    if not by_size:
+        return
+
+    def project_all(batches):
+        for batch in batches:
+            for size, _, v in vectors_of(batch):
+                if size in by_size:
+                    x = unit(v)
+                    yield size, packed.pack(*(t.projections(x)[:, : by_size[size].top].astype(np.float32).ravel() for t in by_size[size].trees))
+
+    got = {}
+    for r in packed.map_rows(_share(classes, {f.size: min(1.0, sample / f.rows) for f in by_size.values()}), project_all).collect():
+        got.setdefault(r["part"], []).append(packed.unpack(bytes(r["blob"])))
+    for size, blobs in got.items():
+        f = by_size[size]
+        for t, p in zip(f.trees, zip(*blobs, strict=True), strict=True):
+            nodes, cuts = t.fit(np.concatenate(p).astype(float).reshape(-1, f.top), 0, 0, f.top)
+            t.threshold[nodes] = cuts
+
+    deep = [f for f in forests if f.top < f.depth]
+    if not deep:
+        return
+    by_size, first = {f.size: f for f in deep}, np.cumsum([0, *(len(f.trees) << f.top for f in deep)]).tolist()
+    begin = {f.size: b for f, b in zip(deep, first, strict=False)}
+
+    def place_all(batches):
+        for batch in batches:
+            for size, _, v in vectors_of(batch):
+                f = by_size.get(size)
+                x = unit(v) if f else None
+                for k, t in enumerate(f.trees if f else ()):
+                    p, node = t.projections(x, f.top).astype(np.float32), t.place(x, f.top)
+                    for n, i in packed.by_part(node, 1 << f.top):
+                        yield begin[size] + (k << f.top) + n, packed.pack(np.array([size, k, n]), p[i].ravel())
+
+    def fit_below(batches):
+        got = {}
+        for blob in packed.blobs(batches):
+            where, p = packed.unpack(blob)
+            got.setdefault(tuple(where.tolist()), []).append(p)
+        for (size, k, n), p in got.items():
+            f = by_size[size]
+            nodes, cuts = f.trees[k].fit(np.concatenate(p).astype(float).reshape(-1, f.depth - f.top), f.top, n, f.depth)
+            yield size, packed.pack(np.array([k]), nodes, cuts)
+
+    some = _share(classes, {f.size: min(1.0, LEAST * (1 << f.depth) / f.rows) for f in deep})
+    sent = packed.send(packed.map_rows(some, place_all), first[-1])
+    for r in packed.map_rows(sent, packed.by_bucket(fit_below, first[-1])).toLocalIterator():
+        (k,), nodes, cuts = packed.unpack(bytes(r["blob"]))
+        by_size[r["part"]].trees[k].threshold[nodes] = cuts
+
+
+def pairs_within(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of unit vectors with cosine >= least, compared in blocks."""
+    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(16, BLOCK // max(1, len(x)))
+    for at in range(0, len(x), step):
+        i, j = np.nonzero(x[at : at + step] @ x[at:].T >= least - 1e-9)
+        a, b = at + i, at + j
+        ok = a < b
+        a, b = a[ok], b[ok]
+        # one way of rounding for every pair
+        exact = np.concatenate([(x[a[k : k + step]] * x[b[k : k + step]]).sum(1) >= least for k in range(0, len(a), step)] or [np.zeros(0, bool)])
+        heads.append(a[exact])
+        tails.append(b[exact])
+    return np.concatenate(heads), np.concatenate(tails)
+
+
+def _spread(forests: list[Forest]):
+    by_size = {f.size: f for f in forests}
 
     def run(batches):
         for batch in batches:
-            column = batch.column("_v")
-            lengths = np.diff(np.asarray(column.offsets))
-            flat = np.asarray(column.flatten())
-            at = np.r_[0, np.cumsum(lengths)]
             node, key, weight = (np.asarray(batch.column(c), np.int64) for c in ("_node", "_key", "_n"))
-            for length in np.unique(lengths):
-                rows = np.flatnonzero(lengths == length)
-                v = flat[at[rows][:, None] + np.arange(length)]
-                if length != size:
-                    yield len(trees) * leaves + int(length) % OTHERS, packed.pack(np.array([length]), v.ravel(), node[rows], key[rows], weight[rows], level=1)
-                    continue
-                x = unit(v)
-                for t, tree in enumerate(trees):
+            for size, rows, v in vectors_of(batch):
+                f, x = by_size[size], unit(v)
+                for t, tree in enumerate(f.trees):
                     row, leaf = tree.route(x)
-                    for p, i in packed.by_part(leaf, leaves):
+                    for p, i in packed.by_part(leaf, 1 << f.depth):
                         r = row[i]
-                        yield t * leaves + p, packed.pack(np.array([length, t, p]), v[r].ravel(), node[rows][r], key[rows][r], weight[rows][r], level=1)
+                        yield f.first + (t << f.depth) + p, packed.pack(np.array([size, t, p]), v[r].ravel(), node[rows][r], key[rows][r], weight[rows][r], level=1)
 
     return run
 
@@ -153,12 +227,14 @@ def earlier(trees: list[Tree], tree: int, leaf: int, x: np.ndarray, a: np.ndarra
     i, j = at[: len(a)], at[len(a) :]
     for t in range(tree + 1):
         row, place = trees[t].route(x[used])
-        held = np.zeros((len(used), 1 << trees[t].depth), bool)
-        held[row, place] = True
         if t == tree:
-            held = held[:, :leaf]
-        for s in range(0, len(a), 100_000):
-            out[s : s + 100_000] |= (held[i[s : s + 100_000]] & held[j[s : s + 100_000]]).any(1)
+            row, place = row[place < leaf], place[place < leaf]
+        leaves, column = np.unique(place, return_inverse=True)
+        held = np.zeros((len(used), len(leaves)), bool)
+        held[row, column] = True
+        step = max(1, 4 * BLOCK // max(1, len(leaves)))
+        for s in range(0, len(a), step):
+            out[s : s + step] |= (held[i[s : s + step]] & held[j[s : s + step]]).any(1)
     return out
 
 
@@ -180,19 +256,21 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 COUNTS = "a long, b long, key long, links long"
 
 
-def _compare(trees: list[Tree], least: float):
+def _compare(forests: list[Forest], least: float):
+    by_size = {f.size: f for f in forests}
+
     def run(batches):
-        by_size = {}
+        held = {}
         for blob in packed.blobs(batches):
             x = packed.unpack(blob)
-            by_size.setdefault(tuple(x[0].tolist()), []).append(x[1:])
-        for (length, *where), got in by_size.items():
+            held.setdefault(tuple(x[0].tolist()), []).append(x[1:])
+        for (length, tree, leaf), got in held.items():
             v, node, key, weight = (np.concatenate(c) for c in zip(*got, strict=True))
             order = np.lexsort((key, node))
             x, node, key, weight = unit(v.reshape(-1, length)[order]), node[order], key[order], weight[order]
             a, b = pairs_within(x, least)
-            if where and (where[0] or where[1]):
-                new = ~earlier(trees, where[0], where[1], x, a, b)
+            if tree or leaf:
+                new = ~earlier(by_size[length].trees, tree, leaf, x, a, b)
                 a, b = a[new], b[new]
             links = np.bincount(a, weight[b], len(x)) + np.bincount(b, weight[a], len(x))
             label = least_labels(len(x), a, b)
@@ -222,15 +300,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     rows = table(rows.withColumn("_v", F.when(sound, v)).withColumn("_key", F.when(F.col("_v").isNotNull(), F.xxhash64("_v"))))
     classes = table(rows.filter("_v is not null").groupBy("_key", "_v").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_n")))
-    longest = classes.agg(F.max(F.size("_v"))).first()[0] or 1
-    some = classes.select("_v", "_key").orderBy("_key").limit(min(sample, max(1, SAMPLE_NUMBERS // longest))).collect()
-    sizes = np.bincount([len(r["_v"]) for r in some] or [1])
-    size = int(sizes.argmax())
-    own = np.array([r["_v"] for r in some if len(r["_v"]) == size], np.float64).reshape(-1, size)
-    grown = forest(unit(own) if len(own) else own, classes.count(), least, trees, leaf)
-    parts = len(grown) * (1 << grown[0].depth) + OTHERS
-    sent = packed.send(packed.map_rows(classes, _spread(grown, size)), parts)
-    found = table(packed.map_batches(sent, _compare(grown, least), COUNTS))
+    forests, parts = [], 0
+    for size, many in sorted(classes.groupBy(F.size("_v")).count().collect()):
+        forests.append(Forest(size, many, least, trees, leaf, sample, parts))
+        parts += forests[-1].buckets
+    fit(forests, classes, sample)
+    parts = max(1, parts)
+    sent = packed.send(packed.map_rows(classes, _spread(forests)), parts)
+    found = table(packed.map_batches(sent, packed.by_bucket(_compare(forests, least), parts), COUNTS))
     roots = connected_components(found.select("a", "b"))
     links = table(found.groupBy("b", "key").agg(F.sum("links").alias("_links")))
     named = table(

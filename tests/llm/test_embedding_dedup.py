@@ -52,12 +52,14 @@ def test_against_brute_force(spark, leaf):
 def test_recall_of_deep_trees():
     """Links near the threshold, with leaves far smaller than in production."""
     rng = np.random.default_rng(3)
-    x = ed.unit(vectors(6_000, rng))
+    x = ed.unit(vectors(12_000, rng))
     a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
-    trees = ed.forest(x[:4_096], len(x), 0.95, leaf=100)
-    assert trees[0].depth >= 6
+    f = ed.Forest(64, len(x), 0.95, leaf=10)
+    assert f.depth >= 10 and len(f.trees) >= 6
     found = np.zeros(len(a), bool)
-    for t in trees:
+    for t in f.trees:
+        nodes, cuts = t.fit(t.projections(x), 0, 0, f.depth)
+        t.threshold[nodes] = cuts
         row, leaf = t.route(x)
         held = np.zeros((len(x), 1 << t.depth), bool)
         held[row, leaf] = True
@@ -65,12 +67,23 @@ def test_recall_of_deep_trees():
     assert len(a) > 3_000 and found.mean() > 0.999
 
 
-def test_split_in_a_leaf():
+def test_lower_levels_fitted_by_node(spark, monkeypatch):
+    """A sample that reaches half of the levels, partitions of many buckets, two lengths."""
+    monkeypatch.setattr(ed.packed, "MOST_PARTS", 7)
     rng = np.random.default_rng(4)
-    x = ed.unit(vectors(2_000, rng))
-    whole = set(zip(*(c.tolist() for c in ed.pairs_within(x, 0.95)), strict=True))
-    split = set(zip(*(c.tolist() for c in ed.pairs_within(x, 0.95, whole=500)), strict=True))
-    assert split <= whole and len(split) > 0.97 * len(whole)
+    x, y = vectors(2_500, rng), vectors(600, rng, 40)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, v.tolist()) for i, v in enumerate(y)]
+    f = ed.Forest(64, len(x), 0.95, leaf=5, sample=256)
+    assert 0 < f.top < f.depth - 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {r.vec_id: r.n_links for r in ed.embedding_dedup(df, leaf=5, sample=256).collect()}
+    want = {}
+    for first, v in ((0, x), (10_000, y)):
+        u = ed.unit(v)
+        same = (u[:, None] * u[None]).sum(2) >= 0.95 if len(u) < 700 else u @ u.T >= 0.95
+        want |= {first + i: int(n) - 1 for i, n in enumerate(same.sum(1))}
+    assert got.keys() == want.keys() and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.999 * sum(want.values()) > 2_000
 
 
 def test_empty(spark):
