@@ -140,8 +140,8 @@ class Dictionaries:
 
 
 def among(c: Column, values) -> Column:
-    values = sorted(values)
-    return c.isin(values) if values else F.lit(False)
+    values = tuple(sorted(values))
+    return c.isin(T.literals(values)) if values else F.lit(False)
 
 
 def _pattern(phrases) -> str:
@@ -157,7 +157,7 @@ def ingredients(normalized: Column, dictionaries: Dictionaries, identifying: boo
     if not table:
         return F.array().cast("array<string>")
     found = F.regexp_extract_all(F.concat(F.lit(" "), normalized, F.lit(" ")), F.lit(_pattern(table)), 0)
-    canonical = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    canonical = T.map_of(tuple(table.items()))
     return F.array_sort(F.array_distinct(F.transform(found, lambda a: F.try_element_at(canonical, a))))
 
 
@@ -172,7 +172,7 @@ def detect_brand(normalized: Column, dictionaries: Dictionaries) -> Column:
     """The known brand of most words in normalised text, the leftmost of equals; null if none."""
     if not dictionaries.known:
         return F.lit(None).cast("string")
-    known = F.create_map(*[F.lit(x) for b in sorted(dictionaries.known) for x in (b, True)])
+    known = T.map_of(tuple((b, True) for b in sorted(dictionaries.known)))
     ws = T.words(normalized)
     sizes = sorted({len(b.split()) for b in dictionaries.known}, reverse=True)
     at = lambda n: F.transform(

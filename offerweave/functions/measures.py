@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerweave.functions.text import normalize_key, normalize_lookup, title_words
+from offerweave.functions.text import map_of, normalize_key, normalize_lookup, title_words
 
 # Spellings of units, for keys.
 UNITS = {
@@ -50,8 +50,7 @@ EXTRACT_FORMS = _aliases(_FORMS, _EXTRACT_FORMS)
 
 def look_up(c: Column, table: dict[str, str]) -> Column:
     """``c`` by the table; what it lacks stays."""
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, c), c)
+    return F.coalesce(F.try_element_at(map_of(tuple(table.items())), c), c)
 
 
 def key_unit(c: Column) -> Column:
@@ -61,7 +60,7 @@ def key_unit(c: Column) -> Column:
 def extract_unit(c: Column) -> Column:
     plain = F.lower(F.trim(F.coalesce(c, F.lit(""))))
     tight = F.replace(plain, F.lit(" "), F.lit(""))
-    pairs = F.create_map(*[F.lit(x) for kv in EXTRACT_UNITS.items() for x in kv])
+    pairs = map_of(tuple(EXTRACT_UNITS.items()))
     return F.coalesce(F.try_element_at(pairs, tight), F.try_element_at(pairs, plain), tight)
 
 

@@ -5,6 +5,8 @@ All are Column expressions, so they run inside generated code.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,3 +114,16 @@ def contains_all(tokens: Column, required: list[str]) -> Column:
     for c in found[1:]:
         out = out & c
     return F.coalesce(out, F.lit(False))
+
+
+@lru_cache(maxsize=None)
+def literals(values: tuple[str, ...]) -> list[Column]:
+    """A column for each value, made once: a plan that names a dictionary often doesn't pay for
+    thousands of literals each time."""
+    return [F.lit(v) for v in values]
+
+
+@lru_cache(maxsize=None)
+def map_of(items: tuple[tuple[str, object], ...]) -> Column:
+    """A map literal, made once."""
+    return F.create_map(*[F.lit(x) for kv in items for x in kv])
