@@ -54,14 +54,18 @@ def plain_doses(title: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), THOUSANDS, "$1$2")
 
 
-def _number(raw: Column) -> Column:
-    return F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")
+def parse_number(raw: Column) -> Column:
+    """A number as titles write it: with both marks points part thousands and the comma decimals, a
+    comma alone parts decimals; null if it is none."""
+    both = F.contains(raw, F.lit(",")) & F.contains(raw, F.lit("."))
+    plain = F.when(both, F.replace(raw, F.lit("."), F.lit(""))).otherwise(raw)
+    return F.replace(plain, F.lit(","), F.lit(".")).try_cast("double")
 
 
 def _all(t: Column, pattern: str) -> Column:
     """(value, unit) of every place."""
     value, unit = (F.regexp_extract_all(t, F.lit(pattern), i) for i in (1, 2))
-    return F.zip_with(value, unit, lambda v, u: F.struct(_number(v).alias("value"), M.extract_unit(u).alias("unit")))
+    return F.zip_with(value, unit, lambda v, u: F.struct(parse_number(v).alias("value"), M.extract_unit(u).alias("unit")))
 
 
 def measures(t: Column) -> dict[str, Column]:

@@ -31,6 +31,25 @@ def needs_processing(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.filter(missing & (F.length("title") > 5))
 
 
+def page_after(rows: DataFrame, after, limit: int, key: str = "id") -> DataFrame:
+    """The next ``limit`` rows by key beyond ``after`` (null: from the start). The predicate reaches the
+    scan and each task sends its first rows only."""
+    rest = rows if after is None else rows.filter(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(limit)
+
+
+def profile(rows: DataFrame, source: str, category: str) -> DataFrame:
+    """Rows and distinct categories of each source."""
+    return rows.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(category).alias("categories"))
+
+
+def run_statistics(runs: DataFrame, status: str, products: str) -> DataFrame:
+    """Runs and products by status, and the percent of all runs."""
+    by = runs.groupBy(status).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.coalesce(products, F.lit(0))).alias("products"))
+    total = runs.agg(F.count(F.lit(1)).alias("_runs"))
+    return by.join(F.broadcast(total)).select(status, "runs", "products", F.round(F.col("runs") * 100.0 / F.col("_runs"), 2).alias("percent"))
+
+
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """Values by frequency and their percent of all rows."""
     n = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

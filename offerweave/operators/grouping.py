@@ -31,9 +31,13 @@ def cheapest_per_vendor(offers: DataFrame, group: str = "group_key", vendor: str
     """The first offer of each vendor in each group by ``order``; an offer without a vendor is its
     own. Adds _of_vendor and _first, the vendor's number of offers in the group and their best rank."""
     who = F.coalesce(F.nullif(F.col(vendor).cast("string"), F.lit("")), F.col("id").cast("string"))
-    place = Window.partitionBy(group, who).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    first = offers.withColumns({"_place": F.row_number().over(place), "_of_vendor": F.count(F.lit(1)).over(Window.partitionBy(group, who)), "_first": F.min("rank").over(Window.partitionBy(group, who))})
-    return first.filter("_place = 1").drop("_place")
+    # partial aggregates: a hot group or vendor is reduced before it is shuffled
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    rest = [c for c in offers.columns if c != group]
+    one = offers.groupBy(group, who.alias("_who")).agg(
+        F.min(F.struct(place.alias("_place"), F.struct(*rest).alias("_row")))["_row"].alias("_row"), F.count(F.lit(1)).alias("_of_vendor"), F.min("rank").alias("_first")
+    )
+    return one.select(*[F.col(group) if c == group else F.col("_row")[c].alias(c) for c in offers.columns], "_of_vendor", "_first")
 
 
 def roll_up(offers: DataFrame, group: str = "group_key", members: list[str] | None = None) -> DataFrame:
@@ -128,14 +132,19 @@ def page(groups: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
 
 def price_position(offers: DataFrame, group: str = "group_key") -> DataFrame:
     """Each offer against its group: distance from the mean, percentile, whether best or worst."""
-    of = Window.partitionBy(group)
-    by_price = of.orderBy("price")
-    return offers.withColumns(
-        {
-            "diff_from_avg": F.col("price") - F.avg("price").over(of),
-            "percentile": F.percent_rank().over(by_price),
-            "is_best_deal": F.col("price") == F.min("price").over(of),
-            "is_worst_deal": F.col("price") == F.max("price").over(of),
-            "price_spread": F.max("price").over(of) - F.min("price").over(of),
-        }
+    by_price = offers.groupBy(group, "price").agg(F.count(F.lit(1)).alias("_n"))
+    of = Window.partitionBy(group)  # over distinct prices: a hot group counts by price first
+    below = F.coalesce(F.sum("_n").over(of.orderBy("price").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by_price.select(group, "price", F.when(F.sum("_n").over(of) > 1, below / (F.sum("_n").over(of) - 1)).otherwise(0.0).alias("percentile"))
+    whole = offers.groupBy(group).agg(F.avg("price").alias("_avg"), F.min("price").alias("_min"), F.max("price").alias("_max"))
+    named = [F.col(c) for c in offers.columns]
+    joined = offers.join(ranked.withColumnsRenamed({group: "_g", "price": "_p"}), F.col(group).eqNullSafe(F.col("_g")) & F.col("price").eqNullSafe(F.col("_p")))
+    joined = joined.drop("_g", "_p").join(whole.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    return joined.select(
+        *named,
+        (F.col("price") - F.col("_avg")).alias("diff_from_avg"),
+        "percentile",
+        (F.col("price") == F.col("_min")).alias("is_best_deal"),
+        (F.col("price") == F.col("_max")).alias("is_worst_deal"),
+        (F.col("_max") - F.col("_min")).alias("price_spread"),
     )

@@ -72,8 +72,9 @@ def match_vendors(vendors: DataFrame, places: DataFrame) -> DataFrame:
     telling words of the vendor's name among the place's.
 
     Every test is an equi-join on something that a match must share, then verified: the last two
-    labels of the domain, the first three characters of the name within, the longest telling word.
-    No vendor meets every place.
+    labels of the domain, the three characters of the name within that the fewest names of the other
+    side hold, its rarest telling word. Counted tables tell which these are, so a word that most
+    names begin with brings nothing together.
     """
     base = lambda d: F.array_join(F.slice(F.split(d, r"\."), -2, 2), ".")
     flat = lambda c: T.normalize_place(F.col(c))
@@ -84,13 +85,21 @@ def match_vendors(vendors: DataFrame, places: DataFrame) -> DataFrame:
     dot = F.lit(".")
     related = (F.col("_d") == F.col("_s")) | F.col("_d").endswith(F.concat(dot, "_s")) | F.col("_s").endswith(F.concat(dot, "_d"))
     by_domain = a.join(b, "_k").filter(related).select("vendor_id", "place_id")
-    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(3))))
-    inner = v.filter(F.length("_v") >= 3).withColumn("_k", F.substring("_v", 1, 3)).join(p.withColumn("_k", F.explode(runs("_p"))), "_k")
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(3))))
+
+    def meet(inner, own, outer, have):
+        """``inner`` rows by the rarest of their keys ``own``, with all ``outer`` rows that have it."""
+        held = outer.withColumn("_k", F.explode(have))
+        often = held.groupBy("_k").agg(F.count(F.lit(1)).alias("_often"))
+        keys = inner.withColumn("_n", F.monotonically_increasing_id()).withColumn("_k", F.explode(own))
+        least = keys.join(often, "_k").groupBy(*[c for c in keys.columns if c != "_k"]).agg(F.min(F.struct("_often", "_k"))["_k"].alias("_k"))
+        return least.join(held, "_k")
+
+    inner = meet(v.filter(F.length("_v") >= 3).select("vendor_id", "_v"), grams("_v"), p.select("place_id", "_p"), grams("_p"))
     within = inner.filter(F.contains("_p", "_v")).select("vendor_id", "place_id")
-    plain = p.filter((F.length("_p") >= 4) & ~F.col("_p").isin(*GENERIC_NAMES)).withColumn("_k", F.substring("_p", 1, 3))
-    around = plain.join(v.withColumn("_k", F.explode(runs("_v"))), "_k").filter(F.contains("_v", "_p")).select("vendor_id", "place_id")
-    lead = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    named = v.filter(F.size("_words") > 0).withColumn("_k", lead).join(p.withColumn("_k", F.explode("_have")), "_k")
+    plain = p.filter((F.length("_p") >= 4) & ~F.col("_p").isin(*GENERIC_NAMES))
+    around = meet(plain.select("place_id", "_p"), grams("_p"), v.select("vendor_id", "_v"), grams("_v")).filter(F.contains("_v", "_p")).select("vendor_id", "place_id")
+    named = meet(v.filter(F.size("_words") > 0).select("vendor_id", "_words"), F.col("_words"), p.select("place_id", "_have"), F.col("_have"))
     by_words = named.filter(F.size(F.array_except("_words", "_have")) == 0).select("vendor_id", "place_id")
     return by_domain.unionByName(within).unionByName(around).unionByName(by_words).distinct()
 
@@ -117,12 +126,14 @@ def colocated(places: DataFrame) -> DataFrame:
     return known.groupBy(geo.spot(F.col("latitude"), F.col("longitude")).alias("spot")).agg(F.count(F.lit(1)).alias("places"))
 
 
-def nearest(places: DataFrame, lat: Column, lon: Column, by: list[str], limit: int | None = None) -> DataFrame:
-    """The nearest place of each ``by``, with its distance in metres; unknown places are left out."""
+def nearest(places: DataFrame, lat: Column, lon: Column, by: list[str], limit: int | None = 300) -> DataFrame:
+    """The nearest place of each ``by``, or without ``by`` the ``limit`` nearest (None: all), with the
+    distance in metres; unknown places are left out."""
     known = places.filter(geo.has_coordinates(F.col("latitude"), F.col("longitude")))
     at = known.withColumn("distance_m", geo.haversine(F.col("latitude"), F.col("longitude"), lat, lon))
     if not by:
-        return at.orderBy(F.col("distance_m").asc_nulls_last(), "id").limit(limit or 300)
+        near = at.orderBy(F.col("distance_m").asc_nulls_last(), "id")
+        return near if limit is None else near.limit(limit)
     place = F.row_number().over(Window.partitionBy(*by).orderBy("distance_m", "id"))
     return at.withColumn("_at", place).filter("_at = 1").drop("_at")
 
