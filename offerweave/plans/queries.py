@@ -718,7 +718,8 @@ def grouped_search(spark, sf_dir):
     d = D.Dictionaries()
     o = offers(spark, sf_dir).withColumns({"volume_value": F.lit(0.0), "volume_unit": F.lit("")})
     q = D.Query("red bolt", d)
-    return grouping.page(grouping.grouped(search.search(o, q), q, d)).drop("products", "first_rank")
+    found = grouping.page(grouping.grouped(search.search(o, q), q, d)).drop("products", "first_rank")
+    return found.withColumn("avg_price", F.round("avg_price", 4))
 
 
 @query()
