@@ -72,3 +72,32 @@ def test_markup():
 
 def test_empty(spark):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def fill(template, optional=True, own="some other holders", choice=0):
+    """A text of a template: its optional regions in or out, replaceable ones with ``own``."""
+    text = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: m[1] if optional else "", template)
+    text = re.sub(r"<<\d+>>", own, text)
+    return re.sub(r"\{([^}]*)\}", lambda m: m[1].split("|")[choice], text)
+
+
+def test_whole_licence_texts(spark):
+    """Optional and replaceable regions may vary; one changed mandatory word rejects the text."""
+    whole = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) > 60]
+    assert {label for label, _ in whole} == {"mit", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "apache-2.0"}
+    rows, want = [], {}
+    for label, t in whole:
+        for text, ok in [(fill(t), True), (fill(t, False, "ACME, Inc.", -1).upper(), True), (fill(t, own="one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), "<<" not in t)]:
+            want[len(rows)] = {label} if ok else set()
+            rows.append((len(rows), f"Intro words.\n{text}; and the rest"))
+        fixed = fill(t, False, "xx").split()
+        mandatory = [i for i, w in enumerate(fixed) if w != "xx"]
+        for at in (mandatory[10], mandatory[len(mandatory) // 2], mandatory[-2]):
+            changed = [*fixed[:at], "unless", *fixed[at + 1 :]]
+            want[len(rows)] = set()
+            rows.append((len(rows), " ".join(changed)))
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    notices = {"apache", "apache-2.0", "zlib"}  # the header holds a notice too
+    for i, labels in want.items():
+        assert got[i] - notices == labels - notices, rows[i][1][:80]
+        assert labels <= got[i]
