@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from offerweave.llm import language_id as li
@@ -121,3 +122,15 @@ def test_sample_counts_distinct_texts_and_takes_long_ones(spark, monkeypatch):
     short = {t for i, t, x in rows[20_000:] if x == "en" and zlib.crc32(str(i).encode()) % 4 != 2}
     li.train(spark.createDataFrame(rows[20_000:], "doc_id long, text string, lang string").withColumn("lang", F.lit("en")), path, sample=len(short) + 3)
     assert len(seen) == len(short) + 3 and {t for _, t in seen} >= short
+
+
+def test_sample_is_the_least_hashes(spark):
+    """However many texts and copies a language has; null labels, held out rows and empty texts bring none."""
+    rows = [(i, f"text number {i % 3_000}", "hot") for i in range(9_000)] + [(10_000 + i, f"text number {i}", "few") for i in range(7)]
+    rows += [(20_000 + i, f"long {i} " + "x" * li.SAMPLE_BYTES, "few") for i in range(50)] + [(30_000, "", "few"), (30_001, None, "few"), (30_002, "no label", None)]
+    got = li.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20).collect()
+    for lang in ("hot", "few"):
+        own = {t for i, t, x in rows if x == lang and t and zlib.crc32(str(i).encode()) % 4 != 2}
+        order = sorted(own, key=lambda t: (len(t) > li.SAMPLE_BYTES, xxhash.xxh64_intdigest(t.encode(), 42) & (2**63 - 1)))
+        assert [r._text for r in sorted(got, key=lambda r: r._at) if r._lang == lang] == [t[: li.SAMPLE_BYTES] for t in order[:20]]
+    assert {r._lang for r in got} == {"hot", "few"}
