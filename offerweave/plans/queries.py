@@ -702,14 +702,32 @@ def group_key_full(spark, sf_dir):
     return keyed.select("id", "title", "group_key", "group_display", "group_method")
 
 
-@query()
+@query(
+    """WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS i, page_id % 5 AS kind, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS own FROM pages)
+    SELECT url, CASE kind WHEN 0 THEN 'P ' || i WHEN 1 THEN 'M & ' || i WHEN 2 THEN 'I ' || i WHEN 3 THEN 'R ' || i
+            ELSE trim(replace(replace(replace(own, '&amp;', '&'), '&quot;', '"'), '&amp;', '&')) END AS title,
+        CAST(CASE kind WHEN 0 THEN page_id * 10 WHEN 1 THEN page_id + 1 WHEN 2 THEN page_id * 100 WHEN 3 THEN (page_id + 1) * 1000 ELSE 0 END AS DOUBLE) AS price,
+        CASE kind WHEN 0 THEN 'vitamini' WHEN 1 THEN 'nega' ELSE '' END AS category, CASE kind WHEN 0 THEN 'p.jpg' WHEN 1 THEN 'm.jpg' WHEN 2 THEN 'i.jpg' ELSE '' END AS thumbnail
+    FROM p"""
+)
 def jsonld_extract(spark, sf_dir):
-    """Products of pages with markup put in: part of the pages has none."""
+    """Products of pages into which one of four kinds of markup is put, of every fifth page none:
+    JSON-LD, meta tags, microdata, JSON-LD without a usable price beside one shown on the page."""
     from offerweave.sources.html import parse_products
 
-    block = F.format_string('<script type="application/ld+json">{"@graph":[{"@type":["Product"],"name":"P %s","offers":[{"price":"%s"}]}]}</script>', F.col("page_id").cast("string"), (F.col("page_id") * 10).cast("string"))
-    p = read(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(block, "html")).otherwise(F.col("html")))
-    return parse_products(p.select("url", "html"))
+    i = F.col("page_id").cast("string")
+    markup = [
+        F.format_string('<script type="application/ld+json">{"@graph":[{"@type":["Product"],"name":"P %s","category":"vitamini","image":"p.jpg","offers":[{"price":"%s"}]}]}</script>', i, (F.col("page_id") * 10).cast("string")),
+        F.format_string(
+            '<meta property="og:title" content="M &amp; %s"><meta content="%s.50" property="product:price:amount"><meta property="product:category" content="nega"><meta name="og:image" content="m.jpg">', i, i
+        ),
+        F.format_string('<h2 itemprop="name" class="x">I %s</h2><meta itemprop="price" content="%s00"><link itemprop="image" content="i.jpg">', i, i),
+        F.format_string(
+            '<script type="application/ld+json">{"@type":"Product","name":"R %s","offers":{"price":"7"}}</script><p class="price"><span><bdi>%s.000,00&nbsp;RSD</bdi></span></p>', i, (F.col("page_id") + 1).cast("string")
+        ),
+    ]
+    block = F.get(F.array(*markup), (F.col("page_id") % 5).cast("int"))
+    return parse_products(read(spark, sf_dir, "pages").select("url", F.concat(F.coalesce(block, F.lit("")), "html").alias("html")))
 
 
 @query()
