@@ -5,7 +5,8 @@ that are equal in full is one copy group. A splitter holds the head of a text, i
 salt, not the text, so what the driver samples stays small however long texts are. The salt, dealt by doc_id,
 keeps a group that holds a third of all rows from landing in one task: each salted part finds its
 own smallest id and size, and the parts (at most ``salts`` a group, without their text) are then
-combined by digest.
+combined by digest. There are as many salts as shuffle partitions, so a hot group spreads as wide as
+the cluster is told to work.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from offerweave.llm.shared import table
 
+#: The least number of salts.
 SALTS = 32
 #: Characters of a text that splitters hold; the digest orders texts that share them.
 HEAD = 64
@@ -25,14 +27,16 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Null text equals empty text. The smallest id of a group stays; a null id counts as larger than
     any other and stays only if its group has no other id. Repeated rows with the id that stays
     each count in ``group_size`` and are each marked kept. An empty table gives no rows. Other
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names. ``salts`` changes the plan, not the rows; if it is
+    None, spark.sql.shuffle.partitions says it, or SALTS if that is less.
     """
+    salts = salts or max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
     rows = rows.select(
         "*",

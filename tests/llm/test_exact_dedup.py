@@ -27,6 +27,18 @@ def test_against_brute_force(spark):
     rows += [(1000 + i, "one hot copy") for i in range(400)]
     assert run(spark, rows) == brute(rows)
     assert run(spark, rows, salts=1) == brute(rows)
+    assert run(spark, rows, salts=5_000) == brute(rows)
+
+
+def test_salts_follow_the_partitions(spark):
+    """A hot group is dealt over as many parts as the exchange has; the rows stay the same."""
+    rows = [(i, "one hot copy" if i % 3 else f"text {i}") for i in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_empty(spark):
