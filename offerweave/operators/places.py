@@ -74,34 +74,38 @@ def match_vendors(vendors: DataFrame, places: DataFrame) -> DataFrame:
     Every test is an equi-join on something that a match must share, then verified: the last two
     labels of the domain, the three characters of the name within that the fewest names of the other
     side hold, its rarest telling word. Counted tables tell which these are, so a word that most
-    names begin with brings nothing together.
+    names begin with brings nothing together; a name with a key that no name of the other side holds
+    meets none. Each different name is worked on once. Joins are by sorting: the size of a file tells
+    nothing of the rows that its names become, and a broadcast of these would fill the driver.
     """
     base = lambda d: F.array_join(F.slice(F.split(d, r"\."), -2, 2), ".")
     flat = lambda c: T.normalize_place(F.col(c))
     v = vendors.select(F.col("id").alias("vendor_id"), domain(F.col("website")).alias("_d"), flat("name").alias("_v"), name_words(F.col("name")).alias("_words"))
-    p = places.select(F.col("id").alias("place_id"), domain(F.col("website")).alias("_s"), flat("name").alias("_p")).withColumn("_have", F.array_distinct(T.words(F.col("_p"))))
+    p = places.select(F.col("id").alias("place_id"), domain(F.col("website")).alias("_s"), flat("name").alias("_p"))
     a = v.filter(F.contains("_d", F.lit("."))).withColumn("_k", base(F.col("_d")))
     b = p.filter(F.contains("_s", F.lit("."))).withColumn("_k", base(F.col("_s")))
     dot = F.lit(".")
     related = (F.col("_d") == F.col("_s")) | F.col("_d").endswith(F.concat(dot, "_s")) | F.col("_s").endswith(F.concat(dot, "_d"))
-    by_domain = a.join(b, "_k").filter(related).select("vendor_id", "place_id")
+    by_domain = a.join(b.hint("merge"), "_k").filter(related).select("vendor_id", "place_id")
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(3))))
 
     def meet(inner, own, outer, have):
-        """``inner`` rows by the rarest of their keys ``own``, with all ``outer`` rows that have it."""
+        """``inner`` rows by the rarest of their distinct keys ``own``, with all ``outer`` rows that have
+        it; rows with a key that no ``outer`` row has go."""
         held = outer.withColumn("_k", F.explode(have))
         often = held.groupBy("_k").agg(F.count(F.lit(1)).alias("_often"))
-        keys = inner.withColumn("_n", F.monotonically_increasing_id()).withColumn("_k", F.explode(own))
-        least = keys.join(often, "_k").groupBy(*[c for c in keys.columns if c != "_k"]).agg(F.min(F.struct("_often", "_k"))["_k"].alias("_k"))
-        return least.join(held, "_k")
-
-    inner = meet(v.filter(F.length("_v") >= 3).select("vendor_id", "_v"), grams("_v"), p.select("place_id", "_p"), grams("_p"))
-    within = inner.filter(F.contains("_p", "_v")).select("vendor_id", "place_id")
-    plain = p.filter((F.length("_p") >= 4) & ~F.col("_p").isin(*GENERIC_NAMES))
-    around = meet(plain.select("place_id", "_p"), grams("_p"), v.select("vendor_id", "_v"), grams("_v")).filter(F.contains("_v", "_p")).select("vendor_id", "place_id")
-    named = meet(v.filter(F.size("_words") > 0).select("vendor_id", "_words"), F.col("_words"), p.select("place_id", "_have"), F.col("_have"))
-    by_words = named.filter(F.size(F.array_except("_words", "_have")) == 0).select("vendor_id", "place_id")
-    return by_domain.unionByName(within).unionByName(around).unionByName(by_words).distinct()
+        keys = inner.withColumn("_of", F.size(own)).withColumn("_k", F.explode(own)).join(often.hint("merge"), "_k")
+        least = keys.groupBy(*inner.columns, "_of").agg(F.min(F.struct("_often", "_k"))["_k"].alias("_k"), F.count(F.lit(1)).alias("_met"))
+        return least.filter("_met = _of").drop("_of", "_met").join(held.hint("merge"), "_k")
+
+    vn, pn = v.select("_v", "_words").distinct(), p.select("_p").distinct().withColumn("_have", F.array_distinct(T.words(F.col("_p"))))
+    within = meet(vn.filter(F.length("_v") >= 3).select("_v"), grams("_v"), pn.select("_p"), grams("_p")).filter(F.contains("_p", "_v"))
+    plain = pn.filter((F.length("_p") >= 4) & ~F.col("_p").isin(*GENERIC_NAMES)).select("_p")
+    around = meet(plain, grams("_p"), vn.select("_v"), grams("_v")).filter(F.contains("_v", "_p"))
+    named = meet(vn.filter(F.size("_words") > 0), F.col("_words"), pn, F.col("_have")).filter(F.size(F.array_except("_words", "_have")) == 0)
+    names = within.select("_v", "_p").unionByName(around.select("_v", "_p")).unionByName(named.select("_v", "_p")).distinct()
+    by_name = names.join(v.select("vendor_id", "_v").hint("merge"), "_v").join(p.select("place_id", "_p").hint("merge"), "_p").select("vendor_id", "place_id")
+    return by_domain.unionByName(by_name).distinct()
 
 
 def prune(places: DataFrame, allowed: DataFrame) -> DataFrame:
