@@ -86,3 +86,15 @@ def test_shingles_piece_by_piece_and_recall_of_bands():
         h = rng.integers(0, 2**64 - 1, 100, np.uint64)
         missed += not (nc.bands(h[:90])[0] == nc.bands(h[10:])[0]).any()  # 80 of 100
     assert missed <= 1
+
+
+def test_links_of_a_crowded_fingerprint_that_no_first_or_last_class_has(spark, monkeypatch):
+    """Pairs linked only to each other, amid many classes that share fingerprints but don't link."""
+    base, rows = [f"b{i}" for i in range(174)], []
+    for at in range(0, 240, 2):
+        own = [f"own{at}w{i}" for i in range(25)]
+        rows += [(at, " ".join(base + own)), (at + 1, " ".join(base + own[:5] + [w + "x" for w in own[5:]]))]
+    assert brute(rows) == list(range(0, 240, 2))
+    assert sorted(r.doc_id for r in stage(spark, rows)) == brute(rows)
+    monkeypatch.setattr(nc, "BLOCK", 50)  # blocks meet two at a time
+    assert sorted(r.doc_id for r in stage(spark, rows)) == brute(rows)
