@@ -27,7 +27,7 @@ from offerweave.llm import packed, words
 K = 3
 #: Bytes of text that are worked on at once, that a bucket and a chunk of documents get, and that
 #: a mapper gathers before it sends.
-SLICE, BUCKET, CHUNK, HELD = 4_000_000, 2_500_000, 8_000_000, 24_000_000
+SLICE, BUCKET, CHUNK, HELD = 2_000_000, 2_500_000, 8_000_000, 12_000_000
 #: A run of K words is common if its share of the sample is at least this; bytes of that sample.
 COMMON, SAMPLE = 1 / 8192, 32_000_000
 
@@ -188,43 +188,47 @@ def _scatter(window: int, buckets: int, chunks: int, common: np.ndarray):
     """Super-k-mers to buckets 0 .. and what is settled to any bucket, marked for its chunk."""
 
     def run(batches):
-        held, size = {}, 0
+        held, size, spare = {}, 0, 0
 
         def flush():
-            for p, parts in held.items():
+            while held:
+                p, parts = held.popitem()
                 yield p, packed.pack(*(np.concatenate(x) if isinstance(x[0], np.ndarray) else b"".join(x) for x in zip(*parts, strict=True)))
-            held.clear()
 
-        spare = 0
+        def work(part):  # a call of its own, so that nothing of a slice is left when the next one is read
+            nonlocal size, spare
+            s = Slice(part, window)
+            if not s.valid.any():
+                return
+            at = np.flatnonzero(s.valid)
+            start = np.arange(len(s.doc)) - s.first[s.doc]
+            whole = window_hashes(s.h, window)
+            met, group = equal_groups(s.codes, at, whole[at], window)
+            where = at[met]
+            del at, met, whole
+            gone = np.zeros(len(s.valid), bool)
+            gone[where[later(group, s.ident[s.doc[where]], start[where])]] = True
+            del where, group
+            first, count = runs_of(gone, s.doc[: len(gone)])
+            d = s.doc[first]
+            for c, blob in marks_of(s.ident[d], s.key[d], start[first], count, chunks):
+                spare += 1
+                yield spare % buckets, packed.pack(np.array([c], np.int32), blob)
+            least = sliding_min(rank(window_hashes(s.h, K), common), window - K + 1)
+            first, count = runs_of(s.valid & ~gone, s.doc[: len(gone)], least, most=window - K + 1)
+            raw = s.data.tobytes()
+            a, b = s.starts[first], s.ends[first + count + window - 2]
+            for p, i in packed.by_part(packed.deal(packed.mix(least[first]), buckets), buckets):
+                d = s.doc[first[i]]
+                text = b"".join([raw[x:y] for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True)])
+                held.setdefault(p, []).append(
+                    (s.ident[d], s.key[d], start[first[i]].astype(np.int32), (b[i] - a[i]).astype(np.int32), np.frombuffer(text, np.uint8))
+                )
+                size += len(text)
+
         for batch in batches:
             for part in packed.slices(batch, "_text", SLICE):
-                s = Slice(part, window)
-                if not s.valid.any():
-                    continue
-                at = np.flatnonzero(s.valid)
-                start = np.arange(len(s.doc)) - s.first[s.doc]
-                whole = window_hashes(s.h, window)
-                met, group = equal_groups(s.codes, at, whole[at], window)
-                where = at[met]
-                gone = np.zeros(len(s.valid), bool)
-                gone[where[later(group, s.ident[s.doc[where]], start[where])]] = True
-                first, count = runs_of(gone, s.doc[: len(gone)])
-                d = s.doc[first]
-                for c, blob in marks_of(s.ident[d], s.key[d], start[first], count, chunks):
-                    spare += 1
-                    yield spare % buckets, packed.pack(np.array([c], np.int32), blob)
-                x = rank(window_hashes(s.h, K), common)
-                least = sliding_min(x, window - K + 1)
-                first, count = runs_of(s.valid & ~gone, s.doc[: len(gone)], least, most=window - K + 1)
-                raw = s.data.tobytes()
-                a, b = s.starts[first], s.ends[first + count + window - 2]
-                for p, i in packed.by_part(packed.deal(packed.mix(least[first]), buckets), buckets):
-                    d = s.doc[first[i]]
-                    text = b"".join([raw[x:y] for x, y in zip(a[i].tolist(), b[i].tolist(), strict=True)])
-                    held.setdefault(p, []).append(
-                        (s.ident[d], s.key[d], start[first[i]].astype(np.int32), (b[i] - a[i]).astype(np.int32), np.frombuffer(text, np.uint8))
-                    )
-                    size += len(text)
+                yield from work(part)
                 if size > HELD:
                     yield from flush()
                     size = 0
