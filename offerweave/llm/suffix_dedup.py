@@ -231,7 +231,14 @@ def _stretches(window: int, bits: int, hash_buckets: int, buckets: int, chunks:
         if not len(data):
             return
         me = _number(key[np.diff(at) > 0], chunks)
-        value, _ = _minimisers(ident, at, data, window, bits, common)
+        got = []
+        for a, b, bounds, i in _parts(at, window):
+            s = Slice(data[a:b], bounds, window, common)
+            first, count = runs_of(s.valid, s.doc, s.least, most=window - K + 1)
+            got.append((first + a, count, _values(s.least[first], bits), i + s.doc[first]))
+        first, count, v, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got, s
+        value = np.unique(v)  # those that the chunk asked about
         bounds = _bucket_bounds(value, hash_buckets, bits)
         shared = np.zeros(len(value), bool)
         if len(rest) != np.count_nonzero(np.diff(bounds)):
@@ -240,17 +247,10 @@ def _stretches(window: int, bits: int, hash_buckets: int, buckets: int, chunks:
             n = bounds[b + 1] - bounds[b]
             shared[bounds[b] : bounds[b + 1]] = np.unpackbits(flags, count=n).astype(bool)
         value = value[shared]
-        got = []
-        for a, b, bounds, i in _parts(at, window):
-            s = Slice(data[a:b], bounds, window, common)
-            first, count = runs_of(s.valid, s.doc, s.least, most=window - K + 1)
-            v = _values(s.least[first], bits)
-            place = np.searchsorted(value, v)
-            place[place == len(value)] = 0
-            on = value[place] == v if len(value) else np.zeros(len(v), bool)
-            first, count, v = first[on], count[on], v[on]
-            got.append((first + a, count, v, i + s.doc[first]))
-        first, count, v, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+        place = np.searchsorted(value, v)
+        place[place == len(value)] = 0
+        on = value[place] == v if len(value) else np.zeros(len(v), bool)
+        first, count, v, doc = first[on], count[on], v[on], doc[on]
         if not len(first):
             return
         # equal stretches: by hash, then byte by byte

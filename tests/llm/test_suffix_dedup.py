@@ -139,3 +139,21 @@ def test_match():
         for o in range(len(x) - 49):
             least[x[o : o + 50]] = min(least.get(x[o : o + 50], d), d)
     assert got == {(a, o) for a, x in enumerate(s) for o in range(len(x) - 49) if least[x[o : o + 50]] < ident[a]}
+
+
+def test_minimisers_are_found_once_for_the_stretches_of_a_chunk(monkeypatch):
+    """Each part of a chunk is hashed once there, not again for its values."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4_000)).encode()
+    size, none, parts = np.array([4_000, 4_000]), sd.Common(np.zeros(0, np.uint64)), []
+    ident, key, at, data = np.array([1, 2]), np.array([7, 7]), np.array([0, 4_000, 8_000]), np.frombuffer(text * 2, np.uint8)
+    value, multi = sd._minimisers(ident, at, data, 50, 30, none)
+    blobs = [packed.pack(ident, np.zeros(2, np.uint8), key, size, data), packed.pack(np.array([0]), np.packbits(multi))]
+    monkeypatch.setattr(sd, "Slice", lambda *x, made=sd.Slice: parts.append(len(x[0])) or made(*x))
+    out = list(sd._stretches(50, 30, 1, 1, 1, none)([pa.record_batch([pa.array(blobs, pa.binary())], ["blob"])]))
+    assert sum(parts) == 8_000
+    settled = [packed.unpack(blob) for _, blob in out if len(packed.unpack(blob)) == 2]
+    names, _, _, count = packed.unpack(settled[0][1].tobytes())
+    assert names.tolist() == [2, 7] and count.sum() == 4_000 - 49
